@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, nearness, secrets, urlfilter
+from . import bpe, decontaminate, langid, media, nearness, secrets, urlfilter
 
 #: Which vocabulary file op2 and the pipeline encode with; the file belongs to an installed package.
 VOCABULARY = "byte_bpe_50k.json"
@@ -64,6 +64,27 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+i AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark),
+dg AS (SELECT doc_id, unnest(range(0, len(ws) - 4)) AS p, array_to_string(ws[p + 1:p + 5], ' ') AS g FROM d WHERE len(ws) >= 5),
+ig AS (SELECT item_id, len(ws) AS size, unnest(range(0, len(ws) - 4)) AS q, array_to_string(ws[q + 1:q + 5], ' ') AS g FROM i WHERE len(ws) >= 5),
+c AS (SELECT DISTINCT doc_id, size, greatest(0, least(p - q, len(ws) - size)) AS start FROM dg JOIN ig USING (g) JOIN d USING (doc_id)),
+w AS (SELECT doc_id, size, start, unnest(list_distinct(list_transform(range(1, len(ws[start + 1:start + size]) - 3), lambda k: array_to_string(ws[start + k:start + k + 4], ' ')))) AS g FROM c JOIN d USING (doc_id)),
+s AS (SELECT DISTINCT item_id, size, g FROM ig),
+wt AS (SELECT doc_id, size, start, sum(length(g)) AS t FROM w GROUP BY ALL),
+st AS (SELECT item_id, sum(length(g)) AS t FROM s GROUP BY ALL),
+b AS (SELECT doc_id, size, start, item_id, sum(length(g)) AS com FROM w JOIN s USING (size, g) GROUP BY ALL),
+f AS (SELECT doc_id, item_id, start, com / (wt.t + st.t - com) AS similarity FROM b JOIN wt USING (doc_id, size, start) JOIN st USING (item_id) WHERE 10 * com >= 8 * (wt.t + st.t - com))
+SELECT doc_id, item_id, CAST(start AS BIGINT) AS start_word, round(similarity, 6) AS similarity FROM f
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
+
+
 def blocklist(hosts: DataFrame) -> DataFrame:
     """A stand-in for a purchased list of hosts: those whose MD5 begins with 0 to 3, about a quarter."""
     return hosts.select("host").distinct().where(F.substring(F.md5("host"), 1, 1).isin(*"0123")).select(F.col("host").alias("key"))
@@ -98,9 +119,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secrets": op4_secrets,
         "op5_language": op5_language,
         "op6_media": op6_media,
+        "op7_decontaminate": op7_decontaminate,
         "op10_urls": op10_urls,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op10_urls": OP10_SQL}
+    return {"op1_minhash": OP1_SQL, "op7_decontaminate": OP7_SQL, "op10_urls": OP10_SQL}
