@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, media, nearness, secrets, urlfilter
+from . import bpe, decontaminate, langid, media, nearness, secrets, substrings, urlfilter
 
 #: Which vocabulary file op2 and the pipeline encode with; the file belongs to an installed package.
 VOCABULARY = "byte_bpe_50k.json"
@@ -85,6 +85,22 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC
 """
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, array_to_string(ws[i:i + 12], ' ') AS g FROM d WHERE len(ws) >= 13),
+m AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g),
+f AS (SELECT doc_id, list(i) AS starts FROM w JOIN m USING (g) WHERE first < doc_id GROUP BY doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(x) AS i FROM (SELECT doc_id, flatten(list_transform(starts, lambda s: range(s, s + 13))) AS x FROM f)),
+r AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+k AS (SELECT doc_id, len(ws) AS n, coalesce(len(gone), 0) AS r, list_filter(ws, lambda x, j: NOT list_contains(coalesce(gone, []), j)) AS kept FROM d LEFT JOIN r USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
 def blocklist(hosts: DataFrame) -> DataFrame:
     """A stand-in for a purchased list of hosts: those whose MD5 begins with 0 to 3, about a quarter."""
     return hosts.select("host").distinct().where(F.substring(F.md5("host"), 1, 1).isin(*"0123")).select(F.col("host").alias("key"))
@@ -120,9 +136,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language": op5_language,
         "op6_media": op6_media,
         "op7_decontaminate": op7_decontaminate,
+        "op8_substrings": op8_substrings,
         "op10_urls": op10_urls,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op7_decontaminate": OP7_SQL, "op10_urls": OP10_SQL}
+    return {"op1_minhash": OP1_SQL, "op7_decontaminate": OP7_SQL, "op8_substrings": OP8_SQL, "op10_urls": OP10_SQL}
