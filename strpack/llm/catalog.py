@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, media, nearness, secrets, substrings, urlfilter
+from . import bpe, decontaminate, langid, media, nearness, secrets, substrings, suffixes, urlfilter
 
 #: Which vocabulary file op2 and the pipeline encode with; the file belongs to an installed package.
 VOCABULARY = "byte_bpe_50k.json"
@@ -101,6 +101,10 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha
 """
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def blocklist(hosts: DataFrame) -> DataFrame:
     """A stand-in for a purchased list of hosts: those whose MD5 begins with 0 to 3, about a quarter."""
     return hosts.select("host").distinct().where(F.substring(F.md5("host"), 1, 1).isin(*"0123")).select(F.col("host").alias("key"))
@@ -137,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_media": op6_media,
         "op7_decontaminate": op7_decontaminate,
         "op8_substrings": op8_substrings,
+        "op9_suffixes": op9_suffixes,
         "op10_urls": op10_urls,
     }
 
