@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, media, nearness, secrets, substrings, suffixes, urlfilter
+from . import bpe, decontaminate, langid, licences, media, nearness, secrets, substrings, suffixes, urlfilter
 
 #: Which vocabulary file op2 and the pipeline encode with; the file belongs to an installed package.
 VOCABULARY = "byte_bpe_50k.json"
@@ -44,6 +44,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
@@ -136,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
         "op2_bpe": op2_bpe,
+        "op3_licences": op3_licences,
         "op4_secrets": op4_secrets,
         "op5_language": op5_language,
         "op6_media": op6_media,

@@ -165,4 +165,4 @@ def predict(df: DataFrame, model: Model, *keep: str, text: str = "text") -> Data
         return pa.record_batch([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=names)
 
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["lang_pred string, score double, rejected boolean"])
-    return by_batch(df.select(*keep, F.col(text).cast("binary")), run, schema)
+    return by_batch(df.select(*keep, F.col(text).cast("binary").alias("__bytes")), run, schema)
