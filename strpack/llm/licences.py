@@ -8,7 +8,7 @@ if it wins and the paragraph holds enough of one of its templates' features.
 
 Only paragraphs with a cue word can hold enough of any template (every template's features include cues, which are
 required for confirmation), so the first pass is one regular expression; the paragraphs it keeps are scored once for each
-distinct text, and the scores are joined back.
+distinct text, and the scores are joined back (by shuffle; a hot paragraph is split at run time).
 
 Edge cases: null and empty texts have no paragraphs; repeated rows are each reported; ties between families go to the
 first in alphabetical order; extra columns are not read; very long lines are scored like any other.
@@ -16,6 +16,7 @@ first in alphabetical order; extra columns are not read; very long lines are sco
 
 from __future__ import annotations
 
+import json
 import random
 import re
 from dataclasses import dataclass
@@ -56,9 +57,7 @@ class Params:
     probability: float = 0.5
     penalty: float = 0.002
     steps: int = 400
-    copies: int = 40
-    #: Distinct paragraphs up to this number are scored into a broadcast table; more are joined by shuffle.
-    broadcast_rows: int = 50_000
+    copies: int = 20
 
 
 def features(text: str) -> list[str]:
@@ -132,7 +131,7 @@ def train(p: Params = Params()) -> Model:
         return float(-(s[np.arange(len(s)), y[held]] - np.log(np.exp(s).sum(1))).mean())
 
     temperature = min((0.25, 0.4, 0.5, 0.7, 0.85, 1.0, 1.25, 1.5, 2.0), key=loss)
-    return Model(classes, {f: [round(v, 6) for v in w[i]] for f, i in index.items() if w[i].any()}, [round(v, 6) for v in b], temperature)
+    return Model(classes, {f: [round(float(v), 6) for v in w[i]] for f, i in index.items() if w[i].any()}, [round(float(v), 6) for v in b], temperature)
 
 
 def scan(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,8 +141,8 @@ def scan(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "
     distinct = lines.select("paragraph").distinct()
     wide = distinct.select("paragraph", feature_column(F.col("paragraph")).alias("features"))
     n = len(model.classes)
-    schema = "feature string, w array<double>"
-    weights = F.broadcast(spark.createDataFrame(list(model.weights.items()), schema))
+    table = json.dumps([{"feature": f, "w": w} for f, w in model.weights.items()])
+    weights = F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<feature:string,w:array<double>>>"))))
     sums = wide.select("paragraph", F.explode("features").alias("feature")).join(weights, "feature").groupBy("paragraph").agg(F.array(*[F.sum(F.get("w", F.lit(i))) for i in range(n)]).alias("z"))
     z = wide.join(sums, "paragraph", "left").withColumn("z", F.array(*[(F.coalesce(F.get("z", F.lit(i)), F.lit(0.0)) + model.bias[i]) / model.temperature for i in range(n)]))
     z = z.withColumn("top", F.array_max("z")).withColumn("best", F.array_position("z", F.col("top")).cast("int") - 1)
