@@ -42,8 +42,8 @@ def boundaries(rows: DataFrame, order_by: Sequence[str], column: str = "tokens")
 
 def varint_size(n: Column) -> Column:
     """Bytes of an unsigned number in groups of seven bits."""
-    out = F.lit(10)
-    for k in range(9, 0, -1):
+    out = F.lit(9)
+    for k in range(8, 0, -1):
         out = F.when(n < (1 << (7 * k)), F.lit(k)).otherwise(out)
     return out
 
