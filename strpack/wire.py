@@ -318,7 +318,7 @@ def loads(data: bytes) -> Blob:
 
     def take(at: int, n: int, what: str) -> bytes:
         if at + n > len(data):
-            raise CorruptArchiveError(f"{what} at offset {at}: {n} bytes wanted, {len(data) - at} left")
+            raise CorruptArchiveError(f"at offset {at} {what}: {n} bytes wanted, {len(data) - at} left")
         return data[at : at + n]
 
     if take(0, 4, "magic") != MAGIC:
