@@ -26,7 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group (similarity 0.8 or more) stays: the least id."""
     found = nearness.groups(docs, nearness.Params(numerator=80)).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.dropDuplicates(["doc_id", "text"]).join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti").select(*COLUMNS)
+    left = docs.select(*COLUMNS, F.xxhash64("text").alias("__text")).join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    # Repeated rows are one document; the join has already brought them together, so no further exchange is needed.
+    return left.dropDuplicates(["doc_id", "__text"]).select(*COLUMNS)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
