@@ -52,6 +52,37 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+#: (kind, expression, test of a match): what a plain search with each expression finds. The two base kinds with a fixed
+#: alphabet have their least length in the expression, which for them is the same.
+_SEARCHES = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)""", "length(g) >= 6"),
+    ("access", "AKIA[A-Z0-9]{16,}", "true"),
+    ("hex", "[0-9a-f]{24,}", "true"),
+    ("forge", "gh[pousr]_[A-Za-z0-9]+", "length(m) >= 40"),
+    ("chat", "xox[abprs]-[A-Za-z0-9][A-Za-z0-9-]*", "length(m) >= 15"),
+    ("cloud", "AIza[A-Za-z0-9_-]+", "length(m) >= 39"),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "true"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "length(m) >= 60"),
+)
+
+
+def _op4_sql() -> str:
+    """Matches and the pieces between them give every match's place."""
+    size = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
+    parts = []
+    for k, (kind, pattern, test) in enumerate(_SEARCHES):
+        p = "'" + pattern.replace("'", "''") + "'"
+        group = f"regexp_extract_all(t, {p}, 1)" if k == 0 else f"regexp_extract_all(t, {p})"
+        parts.append(f"SELECT doc_id, {k} AS k, '{kind}' AS kind, m, g, a, a + length(m) AS b FROM (SELECT doc_id, ms[i] AS m, gs[i] AS g, {size('ps[1:i]')} + {size('ms[1:i - 1]')} AS a FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS ms, {group} AS gs, string_split_regex(t, {p}) AS ps FROM d))) WHERE {test}")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  coalesce(string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, k) FILTER (k < 3), '') AS base, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def remainder():
     """crc32 of doc_id as text, mod 5: 0 is held out."""
     return F.crc32(F.col("doc_id").cast("string")) % 5
@@ -152,4 +183,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op7_decontaminate": OP7_SQL, "op8_substrings": OP8_SQL, "op10_urls": OP10_SQL}
+    return {"op1_minhash": OP1_SQL, "op4_secrets": _op4_sql(), "op7_decontaminate": OP7_SQL, "op8_substrings": OP8_SQL, "op10_urls": OP10_SQL}
