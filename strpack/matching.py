@@ -9,12 +9,13 @@ CROWD = 128
 
 
 class Matcher:
-    """Tokens of up to HEAD bytes are one dict; longer ones hang on their first HEAD bytes, longest first."""
+    """Tokens of up to HEAD bytes are one dict, with the lengths that occur for each two-byte start; longer ones hang on
+    their first HEAD bytes, longest first."""
 
     def __init__(self, max_token_length: int = 0, tokens: Sequence[bytes] = ()):
         self.crowd = CROWD if max_token_length == 16 else 0
         self.short: dict[bytes, int] = {}
-        self.sizes: list[int] = []  # lengths that short tokens have, longest first
+        self.sizes: dict[bytes, list[int]] = {}  # by two-byte start: lengths of short tokens, longest first
         self.long: dict[bytes, list[tuple[int, bytes, int]]] = {}
         for i, t in enumerate(tokens):
             self.insert(t, i)
@@ -32,8 +33,10 @@ class Matcher:
             row.insert(at, (n, token, token_id))
         elif n > 1:
             self.short[token] = token_id
-            if n not in self.sizes:
-                self.sizes = sorted([*self.sizes, n], reverse=True)
+            sizes = self.sizes.setdefault(token[:2], [])
+            if n not in sizes:
+                sizes.append(n)
+                sizes.sort(reverse=True)
         return True
 
     def find(self, data: bytes, at: int) -> tuple[int, int]:
@@ -43,17 +46,16 @@ class Matcher:
             for n, token, token_id in self.long.get(data[at : at + HEAD], ()):
                 if n <= left and data.startswith(token, at):
                     return token_id, n
-        for n in self.sizes:
-            if n <= left:
-                token_id = self.short.get(data[at : at + n])
-                if token_id is not None:
-                    return token_id, n
+        for n in self.sizes.get(data[at : at + 2], ()):
+            token_id = self.short.get(data[at : at + n])  # a slice cut off by the row's end is shorter than any match
+            if token_id is not None and n <= left:
+                return token_id, n
         return data[at], 1
 
     def parse(self, data: bytes) -> list[int]:
         """Greedy parse of a whole row."""
-        out, at, n, top = [], 0, len(data), self.sizes
-        long, short = self.long, self.short
+        out, at, n = [], 0, len(data)
+        long, short, sizes = self.long, self.short, self.sizes
         while at < n:
             if long and n - at > HEAD:
                 for size, token, token_id in long.get(data[at : at + HEAD], ()):
@@ -65,7 +67,7 @@ class Matcher:
                     size = 0
                 if size:
                     continue
-            for size in top:
+            for size in sizes.get(data[at : at + 2], ()):
                 piece = data[at : at + size]
                 if piece in short and at + size <= n:
                     out.append(short[piece])
