@@ -20,28 +20,56 @@ _NUMBER = "[0-9.,_:/+-]*[0-9][0-9.,_:/+-]*"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _whole(v: Column, pattern: str) -> Column:
+    return v.rlike(rf"\A(?:{pattern})\z")
+
+
+def looks_ipv4(v: Column) -> Column:
+    """Four decimal parts up to 255, with any number of leading zeros."""
+    return _whole(v, _IP)
+
+
+def looks_uuid(v: Column) -> Column:
+    return _whole(v, _UUID)
+
+
+def looks_hex(v: Column) -> Column:
+    """Hex digits and dashes with at least eight digits."""
+    return _whole(v, _HEX)
+
+
+def looks_number(v: Column) -> Column:
+    """Digits and number punctuation, at least half of it digits."""
+    return _whole(v, _NUMBER) & (F.length(F.regexp_replace(v, "[^0-9]", "")) * 2 >= F.length(v))
+
+
+def lower_ascii(v: Column) -> Column:
+    return F.translate(v, _UP, _LOW)
+
+
+def trimmed(v: Column) -> Column:
+    """Without brackets, quotes and separators at both ends."""
+    marks = "".join("\\" + c for c in _TRIM)
+    return F.regexp_replace(v, rf"\A[{marks}]+|[{marks}]+\z", "")
+
+
 def normalized_value(v: Column) -> Column:
     """IPv4 address, UUID, hex run, number, or the lower-cased first 32 bytes; first rule that fits."""
-    whole = lambda p: v.rlike(rf"\A(?:{p})\z")
-    digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
     start = F.when(F.octet_length(v) <= KEEP, v).otherwise(F.substring(v.cast("binary"), 1, KEEP).cast("string"))
-    return (
-        F.when(v == "", "<*>")
-        .when(whole(_IP), "<IP>")
-        .when(whole(_UUID), "<UUID>")
-        .when(whole(_HEX), "<HEX>")
-        .when(whole(_NUMBER) & (digits * 2 >= F.length(v)), "<NUM>")
-        .otherwise(F.translate(start, _UP, _LOW))
-    )
+    kinds = ((looks_ipv4, "<IP>"), (looks_uuid, "<UUID>"), (looks_hex, "<HEX>"), (looks_number, "<NUM>"))
+    out = F.when(v == "", "<*>")
+    for test, name in kinds:
+        out = out.when(test(v), name)
+    return out.otherwise(lower_ascii(start))
 
 
 def normalized_field(field: Column) -> Column:
-    marks = "".join("\\" + c for c in _TRIM)
-    trimmed = F.regexp_replace(field, rf"\A[{marks}]+|[{marks}]+\z", "")
-    eq = F.instr(trimmed, "=")
-    key = F.translate(F.substring_index(trimmed, "=", 1), _UP, _LOW)
-    pair = F.concat(key, F.lit("="), normalized_value(F.substr(trimmed, eq + 1)))
-    return F.when(trimmed == "", "<*>").when((eq > 1) & (eq < F.length(trimmed)), pair).otherwise(normalized_value(trimmed))
+    """A trimmed field, or key=value with the key lower-cased and the value normalised."""
+    plain = trimmed(field)
+    eq = F.instr(plain, "=")
+    key = lower_ascii(F.substring_index(plain, "=", 1))
+    pair = F.concat(key, F.lit("="), normalized_value(F.substr(plain, eq + 1)))
+    return F.when(plain == "", "<*>").when((eq > 1) & (eq < F.length(plain)), pair).otherwise(normalized_value(plain))
 
 
 def template_key_column(line: Column, fields: int = FIELDS) -> Column:

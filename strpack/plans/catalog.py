@@ -18,6 +18,7 @@ from .. import streaming
 from ..archive import Archive
 from ..config import Config
 from ..functions.registration import register
+from ..functions import templates
 from ..functions.templates import template_key_column
 from ..model import Encoder, Model, train
 from ..operators import analytics, codec, encoded, grouped, sampling
@@ -280,6 +281,24 @@ def template_key_lines(spark, d):
     return e.select("event_id", template_key_column(line).alias("template"))
 
 
+_FIELDS = ("1.2.3.4", "1.2.3.256", "0001.002.3.4", "1.2.3", "550e8400-e29b-41d4-a716-446655440000", "550e8400e29b", "2025-09-12", "12:30", "1--", "1-", "[x]", "'ABC';", "deadbee", "DEADBEEF", "a=b", "..", "<>", "99%")
+
+
+@query(
+    "template_predicates",
+    "SELECT f, "
+    f"regexp_full_match(f, '{_OCTET}(\\.{_OCTET}){{3}}') AS ipv4, regexp_full_match(f, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}') AS uuid, "
+    "regexp_full_match(f, '[0-9a-fA-F-]+') AND length(replace(f, '-', '')) >= 8 AS hex, "
+    "regexp_full_match(f, '[0-9.,_:/+-]+') AND regexp_matches(f, '[0-9]') AND length(regexp_replace(f, '[^0-9]', '', 'g')) * 2 >= length(f) AS number, "
+    f"translate(trim(f, '[](){{}}<>,;:''\"'), {_UPLOW}) AS plain FROM (VALUES " + ", ".join("('" + f.replace("'", "''") + "')" for f in _FIELDS) + ") AS t(f)",
+)
+def template_predicates(spark, d):
+    f = F.col("f")
+    tests = {"ipv4": templates.looks_ipv4, "uuid": templates.looks_uuid, "hex": templates.looks_hex, "number": templates.looks_number}
+    rows = spark.createDataFrame([(x,) for x in _FIELDS], "f string")
+    return rows.select("f", *[t(f).alias(n) for n, t in tests.items()], templates.lower_ascii(templates.trimmed(f)).alias("plain"))
+
+
 _CLUSTERS = f"SELECT {_key_sql('o_orderpriority')} AS k, min(o_orderkey) AS first, count(*) AS n FROM orders GROUP BY k"
 
 
