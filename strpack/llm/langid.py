@@ -5,7 +5,7 @@ blank). Training clusters the vectors of every language into a few centroids (sp
 have several modes; prediction takes the closest centroid by cosine and rejects what is far from all of them.
 
 Training sample: at most ``Params.sample`` labelled rows in expectation (rows kept by a hash of their text, at a rate per
-language computed from exact counts), reduced to vectors on the executors. Prediction reads every whole text.
+language computed from exact counts; copies of one text count once), reduced to vectors on the executors. Prediction reads every whole text.
 
 Edge cases: null text and texts without a letter are ``und`` with score 0 and rejected; ties go to the first language
 in alphabetical order; with no labelled row at all everything is ``und``; other columns are not read.
@@ -114,6 +114,8 @@ def fit(df: DataFrame, params: Params = Params(), text: str = "text", lang: str
         c, some = counts([t.as_py() for t in batch.column(1)], buckets)
         return pa.record_batch([batch.column(0), pa.array([r.astype(np.float16).tobytes() if s else None for r, s in zip(np.minimum(c, 60000), some)], pa.binary())], names=["lang", "v"])
 
+    # Copies of one text share its hash; one of them is enough, and a hot text cannot swell the sample.
+    chosen = chosen.dropDuplicates(["lang", "text"])
     got = by_batch(chosen.select("lang", F.col("text").cast("binary")), vector, "lang string, v binary").where("v IS NOT NULL").orderBy("lang", "v").toArrow()
     labels = np.array([langs.index(x) for x in got["lang"].to_pylist()], int)
     if not len(labels):
