@@ -274,11 +274,15 @@ def resolve(
 ) -> DataFrame:
     """The whole exchange over (doc, mark, text). The texts move once, by document key; both joins read that exchange."""
     n_bins = bins(docs, bin_bytes)
+    # Both joins must see the very same input, or Spark would exchange the texts twice: an inner join adds a test for
+    # null keys, so the test is made for both, and rows without an id come back at the end.
+    nameless = docs.where("doc IS NULL").select("*", *[F.lit(None).cast("array<binary>").alias(c) for c in ("place", "count")])
+    docs = docs.where("doc IS NOT NULL")
     raw = lambda names: "bin int, " + ", ".join(f"{c} binary" for c in names)
-    records = by_batch(docs.where("doc IS NOT NULL"), lambda b: collect(b, n_bins), raw(SUPER))
+    records = by_batch(docs, lambda b: collect(b, n_bins), raw(SUPER))
     found = per_document(settle_supers(records, spec.ordered), "place", "state")
     held = docs.join(found.hint("shuffle_hash"), ["doc", "mark"]).select("doc", "mark", "text", "place", "state")
     windows = by_batch(held, lambda b: open_windows(b, n_bins), raw([*keys, "doc", "mark", "place", "count", "state"]))
     flags = per_document(settle_windows(windows, spec, keys, classes_of), "place", "count")
     both = docs.join(flags.hint("shuffle_hash"), ["doc", "mark"], "left").select("doc", "mark", "text", "place", "count")
-    return by_batch(both, finish, schema)
+    return by_batch(both.union(nameless), finish, schema)
