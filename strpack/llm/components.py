@@ -18,7 +18,7 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     component is the least node reachable. Self-links, repeated links and nulls are ignored."""
     edges = cut(links.select("a", "b").where("a <> b").distinct())
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("at"))
-    nodes = cut(nodes)
+    first, steps = edges, []
     for k in range(most_rounds):
         if edges.isEmpty():
             break
@@ -26,17 +26,18 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a"))
         near = both.groupBy("v").agg(F.min(order(F.col("w"))).alias("w"))
         point = cut(near.select("v", F.least(F.col("w"), order(F.col("v"))).getField("to").alias("to")).where("v <> to"))
-        old = (edges, nodes)
+        steps.append(point)
         left, right = point.select(F.col("v").alias("a"), F.col("to").alias("ta")), point.select(F.col("v").alias("b"), F.col("to").alias("tb"))
         moved = edges.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"))
-        edges = cut(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        nodes = cut(nodes.join(point.select(F.col("v").alias("at"), "to"), "at", "left").select("node", F.coalesce("to", "at").alias("at")))
-        for t in (*old, point):
-            drop_cut(t)
+        old, edges = edges, cut(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if old is not first:
+            drop_cut(old)
     else:
         raise RuntimeError("contraction did not end")
+    for point in steps:  # where each node went, round by round; one job in the end
+        nodes = nodes.join(point.select(F.col("v").alias("at"), "to"), "at", "left").select("node", F.coalesce("to", "at").alias("at"))
     least = nodes.groupBy("at").agg(F.min("node").alias("component"))
     out = cut(nodes.join(least, "at").select("node", "component"))
-    for t in (edges, nodes):
+    for t in {id(x): x for x in (first, edges, *steps)}.values():
         drop_cut(t)
     return out

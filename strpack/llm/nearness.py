@@ -11,7 +11,7 @@ agree in a register with a probability that grows with their similarity.
    likelihood similarity given how many registers are greater, less and equal and both set sizes - and whatever could
    reach the threshold is verified on the full sets.
 4. Later rounds look only at buckets whose members still lie in several components: small buckets pair all members of
-   different components, larger ones pair every member with their next least member, until no bucket is left. No pair of
+   different components, larger ones pair every member with a few dozen centres, which then leave it, until none is left. No pair of
    a bucket that could join two components stays untested, and a group of copies costs about one test for each member.
 
 With 48 bands of 5 registers a pair at similarity 0.8 is in no common bucket with probability 5e-9 (0.85: 6e-13).
@@ -47,8 +47,10 @@ class Params:
     rate: float = 20.0
     top: int = 65535
     seed: int = 11
-    #: Buckets of at most this many members pair all members of different components at once.
+    #: Buckets of at most this many members pair all members of different components at once; larger ones take so many
+    #: centres in a round.
     small: int = 48
+    centres: int = 48
     #: Candidates whose estimate lies this many standard deviations below the threshold are not verified.
     deviations: float = 6.5
 
@@ -218,22 +220,19 @@ def groups(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str =
     links = [_verified(tested, docs, p)]
     done = [first]
     buckets = buckets.select("bucket", "id")
-    while True:
-        linked = links[0]
-        for x in links[1:]:
-            linked = linked.union(x)
-        found = components(linked)
+    found = components(links[0])
+    for turn in range(1 << 20):
         placed = buckets.join(found, buckets["id"] == found["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("least"), F.count("*").alias("size")).where("x < y").select("bucket", "least", "size")
-        left = cut(placed.join(open_, "bucket").select("bucket", "id", "component", "least", "size"))
+        open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x < y").select("bucket", "size")
+        left = cut(placed.join(open_, "bucket").select("bucket", "id", "component", "size"))
         if left.isEmpty():
             break
         little, large = left.where(F.col("size") <= p.small), left.where(F.col("size") > p.small)
-        one = little.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"))
-        two = little.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
-        crossing = one.join(two, "bucket").where("a < b AND ca <> cb").select("a", "b")
-        heads_ = large.where("id = least").select("bucket", F.col("component").alias("ca"))
-        star = large.where("id > least").join(heads_, "bucket").where("component <> ca").select(F.col("least").alias("a"), F.col("id").alias("b"))
+        sides = [little.select("bucket", F.col("id").alias(x), F.col("component").alias("c" + x)) for x in "ab"]
+        crossing = sides[0].join(sides[1], "bucket").where("a < b AND ca <> cb").select("a", "b")
+        part = F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(p.centres))
+        centres = large.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("id", "component")).alias("c")).select("bucket", F.col("c.id").alias("a"), F.col("c.component").alias("ca"))
+        star = large.join(centres, "bucket").where("id <> a AND component <> ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
         fresh = crossing.union(star).distinct()
         for x in done:
             fresh = fresh.join(x, ["a", "b"], "left_anti")
@@ -242,13 +241,15 @@ def groups(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str =
         likely = cut(_likely(fresh, reps, p))
         if not likely.isEmpty():
             links.append(_verified(likely, docs, p))
-        buckets = cut(large.where("id > least").select("bucket", "id"))
+            # Only links between components are new; they contract the components found so far.
+            to = found.select(F.col("node").alias("a"), F.col("component").alias("ta")), found.select(F.col("node").alias("b"), F.col("component").alias("tb"))
+            new = links[-1].join(to[0], "a", "left").join(to[1], "b", "left").select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"))
+            over = components(new)
+            labels = found.union(new.select("a", "a")).union(new.select("b", "b")).toDF("node", "at").dropDuplicates(["node"])
+            old, found = found, cut(labels.join(over.toDF("at", "to"), "at", "left").select("node", F.coalesce("to", "at").alias("component")))
+            drop_cut(old)
+        buckets = cut(large.join(centres.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id"))
         if buckets.isEmpty():
-            if len(links) > 1:
-                linked = links[0]
-                for x in links[1:]:
-                    linked = linked.union(x)
-                found = components(linked)
             break
     placed = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).dropDuplicates(["doc_id"])
     out = s.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left")
