@@ -28,8 +28,8 @@ _WS = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 
 
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-#: Words (of at most MEMO_BYTES) and pairs of tokens that each half of a worker's memory holds; it only saves time.
-MEMO_WORDS = 400_000
+#: Words (of at most MEMO_BYTES) and pairs of tokens that each half of a task's memory holds; it only saves time.
+MEMO_WORDS = 200_000
 MEMO_BYTES = 40
 MEMO_PAIRS = 500_000
 
@@ -107,6 +107,9 @@ class Bpe:
                     if a == limit:
                         return True
 
+    def forget(self) -> None:
+        self.memo, self.old, self.known = {}, {}, {}
+
     def encode_word(self, word: bytes) -> tuple[int, ...]:
         size, known, rank, last, done = self.size, self.known, self.single, [], 0
         for end, k in self.automaton.iter(word.decode("latin-1")):  # longest match first at every end
@@ -183,7 +186,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
         return pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 
     kind = dict(df.dtypes)[key]
-    return by_batch(text_of(df, key, text=text), run, f"`{key}` {kind}, ids array<int>")
+    return by_batch(text_of(df, key, text=text), run, f"`{key}` {kind}, ids array<int>", lambda: load(path).forget())
 
 
 def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -215,4 +218,4 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
         return pa.record_batch([keys, pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = dict(df.dtypes)[key]
-    return by_batch(text_of(df, key, text=text), run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return by_batch(text_of(df, key, text=text), run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: load(path).forget())

@@ -50,13 +50,18 @@ def bins(df: DataFrame, each: int, least: int = 16, most: int = 1 << 20) -> int:
     return max(least, min(most, -(-input_bytes(df) // each)))
 
 
-def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function from batch to batch."""
+def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow with a function from batch to batch. done: called at the end of each task, to let go of what the worker
+    process remembers; it may serve other stages next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := function(batch)) is not None:
-                yield out
+        try:
+            for batch in batches:
+                if batch.num_rows and (out := function(batch)) is not None:
+                    yield out
+        finally:
+            if done:
+                done()
 
     return df.mapInArrow(run, schema)
 

@@ -145,9 +145,10 @@ def predict(df: DataFrame, model: Model, *keep: str, text: str = "text") -> Data
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = [*keep, "lang_pred", "score", "rejected"]
     kinds = dict(df.dtypes)
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m, texts = shared.value, batch.column(batch.num_columns - 1)
+        m, texts = shared.value, batch.column(at).cast(pa.binary())
         langs, scores, rejected = [], [], []
         for i in range(0, len(texts), 256):
             c, some = counts([t.as_py() for t in texts[i : i + 256]], m.params.buckets)
@@ -164,7 +165,9 @@ def predict(df: DataFrame, model: Model, *keep: str, text: str = "text") -> Data
                 langs.append(m.langs[m.lang_of[best[k]]] if some[k] else "und")
                 scores.append(float(round(float(top[k]), 6)) if some[k] else 0.0)
                 rejected.append(not some[k] or float(top[k]) < m.floor)
-        return pa.record_batch([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=names)
+        return pa.record_batch([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=names)
 
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["lang_pred string, score double, rejected boolean"])
-    return by_batch(df.select(*keep, F.col(text).cast("binary").alias("__bytes")), run, schema)
+    # The text travels once: as a column to keep, or as bytes behind the others.
+    rows = df.select(*keep) if text in keep else df.select(*keep, F.col(text).cast("binary").alias("__bytes"))
+    return by_batch(rows, run, schema)
