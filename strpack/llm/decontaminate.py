@@ -3,9 +3,10 @@
 Texts are lower-cased and split into words; shingles are five words. A window has as many words as an item.
 
 1. Seeds. A window that reaches the threshold shares shingles with its item, so the shingles of every document meet the
-   items' shingles in one equi-join (broadcast while the item side is small, else shuffled). Each meeting says where a
-   window of that item's size would begin; all other windows share nothing with any item of their size and cannot match.
-2. Fingerprints. Each such window and each item get a 64-bit SimHash of their shingles, weighted by length in characters.
+   items' shingles in one equi-join (broadcast while the item side is small, else shuffled). A running sum over these
+   meetings gives, for every start in the document, the most weight a window there can have in common with the item;
+   every start where that can reach the threshold is a window, wherever its shingles stand in the item.
+2. Fingerprints. Each such window, unless its own weight rules it out, and each item get a 64-bit SimHash of their shingles, weighted by length in characters.
 3. Multi-index Hamming. Fingerprints are cut into radius + 1 blocks; two within the radius agree in some block, so an
    equi-join on (window size, block number, block value) finds all of them; the exact distance follows.
 4. Verification. Weight of the common shingles over weight of all shingles of both, at least the threshold, exactly.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 N = 5
@@ -77,15 +78,46 @@ def simhash(shingles: Column) -> Column:
     return _bind(F.transform(shingles, lambda s: F.struct(F.xxhash64(s).alias("h"), F.length(s).cast("long").alias("w"))), votes)
 
 
-def blocks(fingerprint: Column, radius: int) -> Column:
-    """(number, value) of each of radius + 1 blocks."""
+def _values(fingerprint: Column, radius: int) -> list[Column]:
     count, out, at = radius + 1, [], 0
     for k in range(count):
         size = (64 - at) // (count - k)
-        value = F.shiftrightunsigned(fingerprint, at).bitwiseAND(F.lit((1 << size) - 1).cast("long"))
-        out.append(F.struct(F.lit(k).alias("k"), value.alias("v")))
+        out.append(F.shiftrightunsigned(fingerprint, at).bitwiseAND(F.lit((1 << size) - 1).cast("long")))
         at += size
-    return F.array(*out)
+    return out
+
+
+def blocks(fingerprint: Column, radius: int) -> Column:
+    """(number, value) of each of radius + 1 blocks."""
+    return F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in enumerate(_values(fingerprint, radius))])
+
+
+def first_block(difference: Column, radius: int) -> Column:
+    """Number of the first block in which two fingerprints of this exclusive or agree."""
+    return F.coalesce(*[F.when(v == 0, k) for k, v in enumerate(_values(difference, radius))])
+
+
+def weight(shingles: Column) -> Column:
+    return F.aggregate(shingles, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
+
+
+def ranges(docs: DataFrame, items: DataFrame, p: Params) -> DataFrame:
+    """id, text_hash, ranges (size, from, to, room): all starts at which a window of that size may reach the threshold,
+    if tenths times the weight of its shingles is at most room."""
+    kinds = items.select("size", "ws").distinct().withColumn("item", F.xxhash64("size", F.array_join("ws", " "))).withColumn("total", weight(shingle_texts(F.col("ws"))))
+    grams = kinds.select("item", "size", "total", "ws", F.posexplode(shingle_hashes(F.col("ws"))).alias("q", "h"))
+    grams = grams.select("item", "size", "total", "h", F.length(F.array_join(F.slice("ws", F.col("q") + 1, F.lit(N)), " ")).cast("long").alias("w")).distinct()
+    if grams.count() <= p.broadcast_shingles:
+        grams = F.broadcast(grams)
+    seen = docs.select("id", "text_hash", F.posexplode(shingle_hashes(words(F.col("text")))).alias("p", "h"))
+    met = seen.join(grams, "h").select("id", "text_hash", "item", "size", "total", "p", "w").repartition("id", "text_hash").distinct()
+    # A shingle at p is in the windows that start from p - (size - N) to p.
+    ends = F.array(F.struct((F.col("p") - F.col("size") + N).alias("at"), F.col("w").alias("w")), F.struct((F.col("p") + 1).alias("at"), (-F.col("w")).alias("w")))
+    by = Window.partitionBy("id", "text_hash", "item").orderBy("at")
+    sums = met.select("id", "text_hash", "item", "size", "total", F.inline(ends)).withColumn("most", F.sum("w").over(by)).withColumn("next", F.lead("at").over(by))
+    able = sums.where((F.col("next") > F.col("at")) & (F.col("most") * 10 >= F.col("total") * p.tenths))
+    one = F.struct("size", F.col("at").alias("from"), (F.col("next") - 1).alias("to"), (F.col("most") * (10 + p.tenths) - F.col("total") * p.tenths).alias("room"))
+    return able.groupBy("id", "text_hash").agg(F.collect_list(one).alias("ranges"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,29 +127,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), key: str
     docs = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("id", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
     items = benchmark.select("item_id", words(F.col("text")).alias("ws")).where(F.size("ws") >= N)
     items = items.select("item_id", F.size("ws").alias("size"), "ws")
-    grams = items.select("item_id", "size", F.posexplode(shingle_hashes(F.col("ws"))).alias("q", "h"))
-    if grams.count() <= p.broadcast_shingles:
-        grams = F.broadcast(grams)
-
-    seen = docs.select("id", "text_hash", F.posexplode(shingle_hashes(words(F.col("text")))).alias("p", "h"))
-    seeds = seen.join(grams, "h").select("id", "text_hash", "size", (F.col("p") - F.col("q")).alias("start")).distinct()
-    starts = seeds.groupBy("id", "text_hash").agg(F.collect_set(F.struct("size", "start")).alias("starts"))
-
-    hit = docs.dropna(subset=["text"]).join(starts.hint("shuffle_hash"), ["id", "text_hash"]).select("doc_id", "text_hash", words(F.col("text")).alias("ws"), "starts")
-    last = lambda s: F.greatest(F.lit(0), F.least(s["start"], F.size("ws") - s["size"]))
-    places = F.array_distinct(F.transform("starts", lambda s: F.struct(s["size"].alias("size"), last(s).alias("start"))))
-    cutouts = F.transform(places, lambda s: F.struct(s["size"].alias("size"), s["start"].alias("start"), F.slice("ws", s["start"] + 1, s["size"]).alias("ws")))
-    windows = hit.select("doc_id", "text_hash", F.inline(cutouts)).select("doc_id", "text_hash", "size", "start", shingle_texts(F.col("ws")).alias("shingles"))
+    starts = ranges(docs, items, p)
+    hit = docs.dropna(subset=["text"]).join(starts.hint("shuffle_hash"), ["id", "text_hash"]).select("doc_id", "text_hash", words(F.col("text")).alias("ws"), "ranges")
+    low, high = (lambda r: F.greatest(F.lit(0), r["from"])), (lambda r: F.least(r["to"], F.greatest(F.lit(0), F.size("ws") - r["size"])))
+    inside = F.filter("ranges", lambda r: low(r) <= high(r))
+    places = F.flatten(F.transform(inside, lambda r: F.transform(F.sequence(low(r), high(r)), lambda s: F.struct(r["size"].alias("size"), s.alias("start"), r["room"].alias("room")))))
+    windows = hit.select("doc_id", "text_hash", "ws", F.inline(places)).select("doc_id", "text_hash", "size", "start", "room", shingle_texts(F.slice("ws", F.col("start") + 1, F.col("size"))).alias("shingles"))
+    windows = windows.withColumn("weight", weight(F.col("shingles"))).where(F.col("weight") * p.tenths <= F.col("room")).drop("room")
     windows = windows.withColumn("print", simhash(F.col("shingles")))
-    prints = items.select("item_id", "size", shingle_texts(F.col("ws")).alias("item_shingles")).withColumn("item_print", simhash(F.col("item_shingles")))
+    prints = items.select("item_id", "size", shingle_texts(F.col("ws")).alias("item_shingles")).withColumn("item_print", simhash(F.col("item_shingles"))).withColumn("item_weight", weight(F.col("item_shingles")))
 
     left = windows.withColumn("block", F.explode(blocks(F.col("print"), p.radius)))
     right = prints.withColumn("block", F.explode(blocks(F.col("item_print"), p.radius)))
-    near = left.join(right, ["size", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= p.radius)
-    weight = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
-    both, all_ = weight(F.array_intersect("shingles", "item_shingles")), weight(F.array_union("shingles", "item_shingles"))
-    # A pair meets in several blocks; the grouped maximum below makes them one, so no extra distinct is needed.
-    found = near.select("doc_id", "text_hash", "item_id", "start", both.alias("both"), all_.alias("all")).where(F.col("both") * 10 >= F.col("all") * p.tenths)
+    difference = F.col("print").bitwiseXOR(F.col("item_print"))
+    # A pair meets in every block that agrees; the first one counts.
+    near = left.join(right, ["size", "block"]).where((F.bit_count(difference) <= p.radius) & (F.col("block.k") == first_block(difference, p.radius)))
+    near = near.select("doc_id", "text_hash", "item_id", "start", weight(F.array_intersect("shingles", "item_shingles")).alias("both"), (F.col("weight") + F.col("item_weight")).alias("sum"))
+    found = near.withColumn("all", F.col("sum") - F.col("both")).where(F.col("both") * 10 >= F.col("all") * p.tenths)
     best = found.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct((F.col("both") / F.col("all")).alias("similarity"), (-F.col("start")).alias("start"))).alias("b"))
     return best.select("doc_id", "text_hash", "item_id", (-F.col("b.start")).cast("long").alias("start_word"), F.round("b.similarity", 6).alias("similarity"))
 

@@ -131,6 +131,29 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs_df, bench.where("false")).count() == 0
 
 
+def test_leaks_of_shifted_windows(spark):
+    """Edits near an item's edge, and parts in another order: the best window is none that a shingle's place suggests."""
+    items = {n: [f"word{i:02d}" for i in range(n)] for n in (13, 22, 32, 30, 100)}
+    edited = {n: list(w) for n, w in items.items()}
+    edited[13][0] = edited[22][1] = edited[32][2] = "different"
+    del edited[30][2]
+    edited[100] = items[100][50:] + items[100][:50]
+    docs = [(n, " ".join([f"pre{i}" for i in range(20)] + w + [f"{'p' if n == 30 else 'post'}{i}" for i in range(20)])) for n, w in edited.items()]
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.similarity) for r in decontaminate.leaks(wild(spark, docs), bench).collect()}
+    want = {}
+    for d, t in docs:
+        w = t.split()
+        grams = lambda x: {" ".join(x[k : k + 5]) for k in range(len(x) - 4)}
+        for n, x in items.items():
+            for start in range(len(w) - n + 1):
+                g, s = grams(w[start : start + n]), grams(x)
+                both, every = sum(map(len, g & s)), sum(map(len, g | s))
+                if 10 * both >= 8 * every and both / every > want.get((d, n), (0, 0))[1]:
+                    want[d, n] = start, both / every
+    assert got == {k: (a, round(b, 6)) for k, (a, b) in want.items()} and {(n, n) for n in items} <= {*want}
+
+
 def repeat_corpus(alphabet, sizes, joint):
     rng = random.Random(2)
     shared = [joint.join(rng.choice(alphabet) for _ in range(rng.choice(sizes))) for _ in range(10)] + [joint.join(["a"] * (sizes[-1] + 20)), joint.join(["a", "b"] * sizes[-1])]
