@@ -1,14 +1,22 @@
 """Licence scans: a trained paragraph classifier whose finds are confirmed against templates, in DataFrame operations.
 
-A paragraph is a line. Its features are the words and word pairs it has in common with the model's sparse vocabulary
+A notice may be one line or wrapped over several. Consecutive lines that are neither blank nor mere markup form a
+paragraph (comment signs at their ends do not count). Scored are every line, every paragraph, and from every line of a
+paragraph the lines that follow it up to half, one and two times the longest template, so that a wrapped notice is also
+found amid other text. Its features are the words and word pairs it has in common with the model's sparse vocabulary
 (numbers count as ``#``). Multinomial logistic regression with an L1 penalty, trained on the driver from the templates
 below with words dropped and foreign words added, and from sentences that are no licence, gives a probability for each
 family and for ``unknown``; a temperature fitted on examples kept out of training calibrates it. A family is confirmed
 if it wins and the paragraph holds enough of one of its templates' features.
 
-Only paragraphs with a cue word can hold enough of any template (every template's features include cues, which are
-required for confirmation), so the first pass is one regular expression; the paragraphs it keeps are scored once for each
-distinct text, and the scores are joined back (by shuffle; a hot paragraph is split at run time).
+The first pass looks for the words of ``needles``, derived from the templates: whatever holds ``confirm`` of a
+template's features has one of them. What it keeps is scored once for each distinct text, and the scores are joined back
+(by shuffle; a hot paragraph is split at run time).
+
+Reported are lines with a cue word, confirmed lines, and confirmed runs of lines in which no line is confirmed for that
+family: of runs that overlap, the one with the greatest share, then the shortest, then the most probable. Lines within a
+reported run are not reported by themselves unless confirmed, and what is confirmed within a run that holds a greater share of
+another family's template is a fragment of that.
 
 Edge cases: null and empty texts have no paragraphs; repeated rows are each reported; ties between families go to the
 first in alphabetical order; extra columns are not read; very long lines are scored like any other.
@@ -20,12 +28,14 @@ import json
 import random
 import re
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Short notices of well-known licences, by family, in our words or as commonly written in file headers.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "AGPL": ("Licensed under the GNU Affero General Public License, version 3.", "This program is free software under the terms of the GNU Affero General Public License as published by the Free Software Foundation."),
@@ -60,6 +70,13 @@ class Params:
     copies: int = 20
 
 
+#: Also in the first pass, since lines with such a word are reported even if they are no notice.
+CUES = ("licens", "licenc", "copyright", "permission", "redistribut", "gpl", "cc0")
+COMMON = frozenset("a all any are as by for has in is it may met no not of on or that the this to under use v with without you".split())
+MARKS = r"^[\s#*/;!%>|-]+|[\s#*/|-]+$"
+MARKUP = r"^(\s*<[^>]*>)+\s*$"
+
+
 def features(text: str) -> list[str]:
     """The driver's version of feature_column, for training and tests."""
     ws = [w for w in re.sub(r"[^a-z#]+", " ", re.sub("[0-9]+", "#", text.lower())).split(" ") if w]
@@ -134,10 +151,75 @@ def train(p: Params = Params()) -> Model:
     return Model(classes, {f: [round(float(v), 6) for v in w[i]] for f, i in index.items() if w[i].any()}, [round(float(v), 6) for v in b], temperature)
 
 
+def needles(confirm: float) -> list[str]:
+    """Words such that without any of them a text holds less than ``confirm`` of each template's features."""
+    chosen: list[str] = []
+    for own in (features(t) for ts in TEMPLATES.values() for t in ts):
+        for w in sorted((f for f in own if re.fullmatch("[a-z]+", f)), key=lambda w: (w not in chosen, w in COMMON, -len(w), w)):
+            if sum(not set(f.split(" ")) & set(chosen) for f in own) < (confirm - 0.001) * len(own):
+                break
+            if w not in chosen:
+                chosen.append(w)
+    return chosen
+
+
+def worth(text: Column, p: Params) -> Column:
+    """Whether a text has a cue word or may hold enough of a template."""
+    ws = sorted({*CUES, *needles(p.confirm)})
+    ws = [w for w in ws if not any(v != w and v in w for v in ws)]
+    return F.get(F.transform(F.array(F.lower(text)), lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in ws])), F.lit(0))
+
+
+def runs(texts: DataFrame) -> DataFrame:
+    """text_id, line, last, paragraph: every line, and the runs of lines that are scored together."""
+    lines = texts.select("text_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
+    bare = lines.withColumn("bare", F.when(F.col("paragraph").rlike(MARKUP), "").otherwise(F.regexp_replace("paragraph", MARKS, "")))
+    bare = bare.withColumn("block", F.sum(F.when(F.col("bare") == "", 1).otherwise(0)).over(Window.partitionBy("text_id").orderBy("line")))
+    row = F.struct("line", "bare", F.size(F.split("bare", r"\s+")).alias("n"))
+    blocks = bare.where("bare <> ''").groupBy("text_id", "block").agg(F.array_sort(F.collect_list(row)).alias("rows")).where(F.size("rows") > 1)
+    longest = max(len(t.split(" ")) for ts in TEMPLATES.values() for t in ts)
+
+    def reach(after: Column, words: int) -> Column:
+        start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("taken"))
+        return F.aggregate(after, start, lambda a, x: F.when(a["words"] >= words, a).otherwise(F.struct((a["words"] + x["n"]).alias("words"), (a["taken"] + 1).alias("taken"))))["taken"]
+
+    def taken(i: Column) -> Column:
+        after = F.slice("rows", i + 2, F.lit(2 * longest))  # each line has a word
+        whole = F.when(i == 0, F.size("rows") - 1).otherwise(1)
+        return F.array_distinct(F.array(*[reach(after, w) for w in (longest // 2, longest, 2 * longest)], whole))
+
+    spans = blocks.select("text_id", "rows", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("rows") - 2), taken)).alias("i", "taken"))
+    spans = spans.select("text_id", "i", F.explode("taken").alias("taken"), "rows")
+    part = F.slice("rows", F.col("i") + 1, F.col("taken") + 1)
+    spans = spans.select("text_id", F.get("rows", F.col("i"))["line"].alias("line"), "taken", F.array_join(F.transform(part, lambda x: x["bare"]), " ").alias("paragraph"))
+    return lines.select("text_id", "line", F.col("line").alias("last"), "paragraph").unionAll(spans.select("text_id", "line", (F.col("line") + F.col("taken")).alias("last"), "paragraph"))
+
+
+def chosen(found: DataFrame) -> DataFrame:
+    """Of scored lines and runs of lines, those to report."""
+    alone = F.col("line") == F.col("last")
+    within = F.when(alone & F.col("confirmed"), F.col("line"))
+    sure = found.where("confirmed").withColumn("own", F.collect_set(within).over(Window.partitionBy("text_id", "family")))
+    wide = sure.where(~alone & ~F.exists("own", lambda x: (x >= F.col("line")) & (x <= F.col("last"))))
+    order = Window.partitionBy("text_id", "family").orderBy("line", "last")
+    wide = wide.withColumn("before", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    wide = wide.withColumn("island", F.sum(F.when(F.col("line") <= F.col("before"), 0).otherwise(1)).over(order))
+    rank = F.struct("template_share", (F.col("line") - F.col("last")).alias("short"), "probability", "line", "last")
+    wide = wide.groupBy("text_id", "family", "island").agg(F.max(rank).alias("r")).select("text_id", "r.line", "r.last", "family", "r.probability", "r.template_share", F.lit(True).alias("confirmed"))
+    taken = wide.groupBy("text_id").agg(F.collect_list(F.struct("line", "last", "family", "template_share")).alias("taken"))
+    inside = lambda x: (F.col("line") >= x["line"]) & (F.col("last") <= x["last"])
+    single = found.where(alone & (F.col("confirmed") | F.col("cue"))).drop("cue")
+    both = single.unionByName(wide.select(*single.columns)).join(taken, "text_id", "left").withColumn("taken", F.coalesce("taken", F.array().cast(taken.schema["taken"].dataType)))
+    part = F.exists("taken", lambda x: inside(x) & (~F.col("confirmed") | (F.col("family") != x["family"]) & (F.col("template_share") < x["template_share"])))
+    return both.where(~part).drop("last", "taken")
+
+
 def scan(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line (from 0), family, probability, template_share, confirmed: every paragraph with a cue word."""
+    """key, line (from 0), family, probability, template_share, confirmed: notices, and lines with a cue word; a run of lines by its first."""
     spark, model = df.sparkSession, train(p)
-    lines = df.select(F.col(key), F.posexplode(F.split(F.col(text), "\n")).alias("line", "paragraph")).where(F.col("paragraph").rlike(CUE))
+    kept = df.select(F.col(key), F.col(text).alias("text")).where(worth(F.col(text), p)).withColumn("text_id", F.sha2("text", 256))
+    lines = runs(kept.select("text_id", "text").dropDuplicates(["text_id"])).where(worth(F.col("paragraph"), p))
+    lines = cut(lines)  # read several times
     distinct = lines.select("paragraph").distinct()
     wide = distinct.select("paragraph", feature_column(F.col("paragraph")).alias("features"))
     n = len(model.classes)
@@ -154,4 +236,5 @@ def scan(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "
         shares = F.when(F.col("family") == family, F.greatest(*own) if len(own) > 1 else own[0]).otherwise(shares)
     scored = z.select("paragraph", "family", "probability", F.round(F.coalesce(shares, F.lit(0.0)), 4).alias("template_share"))
     scored = scored.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("probability") >= p.probability) & (F.col("template_share") >= p.confirm))
-    return lines.join(scored, "paragraph").select(key, "line", "family", "probability", "template_share", "confirmed")
+    found = chosen(cut(lines.join(scored, "paragraph").withColumn("cue", F.col("paragraph").rlike(CUE)).drop("paragraph")))
+    return kept.select(key, "text_id").join(found, "text_id").select(key, "line", "family", "probability", "template_share", "confirmed")

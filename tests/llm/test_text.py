@@ -145,6 +145,39 @@ def test_licences(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    def wrapped(t, width, sign):
+        return "\n".join(sign + x for x in textwrap.wrap(t, width))
+
+    long = [(f, t) for f, ts in licences.TEMPLATES.items() for t in ts if len(t) > 70]
+    rows, want = [], {}
+    for k, (family, t) in enumerate((f, t) for f, t in long for _ in range(3)):
+        width, sign = ((72, ""), (60, " * "), (48, "# "))[k % 3]
+        rows.append((k, f"The first words of a file.\n\n{wrapped(t, width, sign)}\n{sign.rstrip()}\nand the others."))
+        rows.append((k + 1000, f"He came to the river.\n{wrapped(t, width, sign)}\nIt was under the bridge of the old town and nobody saw the captain."))
+        want[k] = want[k + 1000] = family
+    found = licences.scan(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")).where("confirmed").collect()
+    assert {(r.doc_id, r.family) for r in found} == {*want.items()}
+    assert all(r.line >= 1 for r in found) and sum(r.doc_id == 0 for r in found) == 2
+    split = licences.scan(spark.createDataFrame([(1, "Permission to use, copy, modify, and\n\n<p>\ndistribute this software for any purpose")], "doc_id long, text string"))
+    assert not split.where("confirmed").count()
+
+
+def test_first_pass_keeps_what_can_be_confirmed(spark):
+    p, rng = licences.Params(), random.Random(4)
+    ws = set(licences.needles(p.confirm))
+    for own in (licences.features(t) for ts in licences.TEMPLATES.values() for t in ts):
+        assert sum(not set(f.split(" ")) & ws for f in own) < p.confirm * len(own)
+    texts = ["This Source Code Form is subject to the terms of the Mozilla Public", *(" ".join(w for w in t.split(" ") if rng.random() < 0.9) for ts in licences.TEMPLATES.values() for t in ts for _ in range(20))]
+    for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", licences.worth(F.col("text"), p).alias("kept")).collect():
+        own = set(licences.features(r.text))
+        assert r.kept or all(len(own & set(f)) < p.confirm * len(f) for f in (licences.features(t) for ts in licences.TEMPLATES.values() for t in ts))
+    got = licences.scan(spark.createDataFrame([(0, texts[0])], "doc_id long, text string")).collect()
+    assert [(r.family, r.confirmed) for r in got] == [("MPL", True)]
+
+
 def test_url_rules_and_cascade(spark):
     urls = ["http://EXAMPLE.com/en/x?q", "https://www.example.com/en/", "http://a.net/es/1", "http://net/fr/", "http://xnet/fr/", "x.net/es/", None, "ftp://h#f", "http://a.com", "http://Ö.Com/", "://", "http://a.org/en/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit("clash"), "rule": F.lit(1)})
