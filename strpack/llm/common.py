@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,12 +15,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; a local one only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder. Where
+    neither is set, a local master has its own; on a cluster that is an error."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not at and not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not at:
-        at = tempfile.mkdtemp(prefix="strpack-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _LOCAL.get(context.applicationId) or _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="strpack-"))
     return at.rstrip("/")
 
 
@@ -46,9 +53,9 @@ def input_bytes(df: DataFrame) -> int:
     return min(size, 1 << 50)
 
 
-def bins(df: DataFrame, each: int, least: int = 16, most: int = 1 << 20) -> int:
+def bins(df: DataFrame, each: int, least: int = 16) -> int:
     """Number of groups for an exchange, in proportion to the input, so that one group stays at about ``each`` bytes."""
-    return max(least, min(most, -(-input_bytes(df) // each)))
+    return max(least, -(-input_bytes(df) // each))
 
 
 def release() -> None:
