@@ -4,34 +4,46 @@ A *window* is a fixed number of consecutive symbols (words or bytes). Comparing
 more than the corpus, so windows meet in two steps, both exact:
 
 1. *Super-windows.* Every window has an anchor, the least short gram inside it, and equal windows have equal anchors at
-   equal places. Consecutive windows with one anchor form a super-window, identified by the hash of all its symbols.
-   One record for each super-window (anchor hash, super hash, document) is exchanged. If the whole super-window
-   recurs, all its windows are settled at once; if not even its anchor recurs, none of them does.
+   equal places. Consecutive windows with one anchor form a super-window, identified by a digest of all its symbols.
+   One record for each super-window (anchor, digest, document) is exchanged. If the whole super-window recurs, all its
+   windows are settled at once; if not even its anchor recurs, none of them does. The anchor's hash only brings records
+   together; what decides is the digest.
 2. *Open windows.* What remains - the anchor recurs in other company, typically at the edges of a shared passage - is
-   settled window by window.
+   settled window by window. A shard (the open stretches of a batch) finds its own classes of equal windows from their
+   symbols, by the operator's suffix array or suffix trees; each class sends one record, and classes of different shards
+   are merged by binary search among the sorted digests of their windows. Merging never looks inside a shard.
 
-Every batch of documents first settles what it can by itself and sends one record for each distinct key, so the group of
-one key holds at most a few records per batch however often it occurs: a passage in a third of all rows is no hot group.
+Digests are 128 bits of BLAKE2b over the symbols themselves: among 10^13 windows two different ones agree with a
+probability of 10^-13.
+
+Every batch of documents first settles what it can by itself and sends one record for each distinct key; of an anchor in
+many different super-windows, a task shows no further ones once it has shown more than ``CROWD``: they are open. So the group of one key
+holds about one small record per batch however often it occurs: a passage in a third of all rows is no hot group.
 Answers travel back as lists per document, and meet the texts by document key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import bins, by_batch
+from .common import bins, by_batch, release
 
 U = np.uint64
 FLAG, ASK, SEND, SHOWN = 1, 2, 4, 128  # settled as repeated; open: wants an answer; its windows may settle others'; to be settled among batches
 #: Distinct super-windows of one anchor in one batch beyond which they skip step 1's comparison and are open.
 CROWD = 16
+#: Crowded anchors that a task remembers.
+KNOWN = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -89,8 +101,18 @@ def supers(order: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.nd
     return first, np.diff(np.append(first, n)), anchor[first]
 
 
-KINDS = {"anchor": U, "whole": U, "one": U, "two": U, "three": U, "key": U, "doc": np.int64, "mark": np.int32, "place": np.int32, "count": np.int32, "state": np.uint8}
-SUPER = ["anchor", "whole", "doc", "mark", "place", "state"]
+#: anchor: what tells the keys of one bin apart. whole, whole2 and key, key2: the halves of a digest.
+KINDS = {"anchor": np.uint32, "whole": U, "whole2": U, "key": U, "key2": U, "doc": np.int64, "mark": np.int32, "shard": np.int64, "place": np.int32, "count": np.int32, "state": np.uint8}
+SUPER = ["anchor", "whole", "whole2", "doc", "mark", "place", "state"]
+WINDOW = ["key", "key2", "shard", "doc", "mark", "place", "count", "state"]
+
+
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of the digest of each stretch of bytes."""
+    h = blake2b
+    out = b"".join([h(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    both = np.frombuffer(out, U).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def rows(n_bins: int, key: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch | None:
@@ -123,10 +145,10 @@ def _compare(r: dict[str, np.ndarray], ordered: bool, crowd: int) -> tuple[np.nd
     """(state, hidden, crowded) of super-window records, as far as these records alone show. hidden: equal records
     already tell the others everything. crowd: 0 where no anchor counts as crowded."""
     n = len(r["anchor"])
-    pair = np.lexsort((r["doc"], r["whole"], r["anchor"]))
-    a, w, d = r["anchor"][pair], r["whole"][pair], r["doc"][pair]
+    pair = np.lexsort((r["doc"], r["whole2"], r["whole"], r["anchor"]))
+    a, w, x, d = (r[c][pair] for c in ("anchor", "whole", "whole2", "doc"))
     new_a = np.concatenate([[True], a[1:] != a[:-1]])
-    new_w = new_a | np.concatenate([[True], w[1:] != w[:-1]])
+    new_w = new_a | np.concatenate([[True], (w[1:] != w[:-1]) | (x[1:] != x[:-1])])
     aid, wid, head_a, head_w = np.cumsum(new_a) - 1, np.cumsum(new_w) - 1, np.flatnonzero(new_a), np.flatnonzero(new_w)
     wholes = np.add.reduceat(new_w.astype(np.int64), head_a)[aid]
     if ordered:
@@ -147,95 +169,118 @@ def _compare(r: dict[str, np.ndarray], ordered: bool, crowd: int) -> tuple[np.nd
     return state, hidden, crowds
 
 
-def super_records(n_bins: int, spec: Spec, r: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-    """One batch's records (anchor, whole, doc, mark, place) for the exchange. What is settled here travels along in a
-    bin of its document's, so that answers come from one place only."""
+def super_records(n_bins: int, spec: Spec, r: dict[str, np.ndarray], known: dict[int, tuple[int, int]]) -> pa.RecordBatch | None:
+    """One batch's records (anchor, whole, whole2, doc, mark, place) for the exchange. What is settled here travels along
+    in a bin of its document's, so that answers come from one place only. known: of anchors in several super-windows, how
+    many this task has shown and the least document among them (bounded; forgetting one only costs records)."""
     if not len(r["anchor"]):
         return None
+    anchor = r["anchor"]
     found, hidden, crowded = _compare(r, spec.ordered, CROWD)
+    before = np.zeros(len(anchor), bool)
+    if names := [a for a, (n, _) in known.items() if n > CROWD]:
+        before = np.isin(anchor, np.array(names, U))
+        for k in np.flatnonzero(before & ~hidden).tolist():
+            hidden[k] = not (spec.ordered and r["doc"][k] < known[int(anchor[k])][1])
+        crowded = crowded | before
     state = found & FLAG
     state |= np.where(crowded & (state == 0), ASK | SEND, 0).astype(np.uint8)
     state |= np.where(crowded & (found & SEND > 0), SEND, 0).astype(np.uint8)
+    state |= np.where(before & (state == FLAG), SEND, 0).astype(np.uint8)
+    more = np.flatnonzero((found & SEND > 0) | before & ~hidden)
+    for a, d in zip(anchor[more].tolist(), r["doc"][more].tolist()):
+        n, least = known.get(a, (0, d))
+        known[a] = n + 1, min(least, d)
+    if len(known) > KNOWN:
+        known.clear()
     keep = ~hidden | (state > 0)
-    key = np.where(hidden, textnum.mix(r["doc"].astype(U)), r["anchor"])
-    r = r | {"state": state | np.where(hidden, 0, SHOWN).astype(np.uint8)}
+    key = np.where(hidden, textnum.mix(r["doc"].astype(U)), anchor)
+    r = r | {"anchor": anchor >> U(32), "state": state | np.where(hidden, 0, SHOWN).astype(np.uint8)}
     return rows(n_bins, key[keep], {c: r[c][keep] for c in SUPER})
 
 
-def settle_supers(records: DataFrame, ordered: bool) -> DataFrame:
-    """Step 1's exchange: for each document the places and states of the super-windows that are flagged or open."""
-
-    def run(table: pa.Table) -> pa.Table:
-        r = read(table, SUPER)
-        state, shown = r["state"] & ~np.uint8(SHOWN), r["state"] >= SHOWN
-        if shown.any():
-            state[shown] |= _compare({c: v[shown] for c, v in r.items()}, ordered, 0)[0]
-        state = np.where(state & FLAG, state & ~np.uint8(ASK), state)
-        keep = state > 0
-        return pa.Table.from_batches([answers(r["doc"][keep], r["mark"][keep], place=r["place"][keep], state=state[keep])])
-
-    return records.groupBy("bin").applyInArrow(run, "doc long, mark int, place binary, state binary")
+def settled_supers(table: pa.Table, ordered: bool) -> pa.Table:
+    """Step 1 for one bin: for each document the places and states of the super-windows that are flagged or open."""
+    r = read(table, SUPER)
+    state, shown = r["state"] & ~np.uint8(SHOWN), r["state"] >= SHOWN
+    if shown.any():
+        state[shown] |= _compare({c: v[shown] for c, v in r.items()}, ordered, 0)[0]
+    state = np.where(state & FLAG, state & ~np.uint8(ASK), state)
+    keep = state > 0
+    return pa.Table.from_batches([answers(r["doc"][keep], r["mark"][keep], place=r["place"][keep], state=state[keep])])
 
 
-def window_classes(keys: list[np.ndarray]) -> np.ndarray:
-    """Class number of each record by equality of all key columns."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
-    return out
-
-
-def settle_classes(classes: np.ndarray, doc: np.ndarray, state: np.ndarray, ordered: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(flag, hidden) of open windows whose equality classes are known."""
+def settle_shard(classes: np.ndarray, doc: np.ndarray, ordered: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(repeated, hidden) of a shard's open windows, whose equality classes are known. hidden: another window of the
+    class already stands for it."""
     order = np.lexsort((doc, classes))
     c, d = classes[order], doc[order]
     new = np.concatenate([[True], c[1:] != c[:-1]])
     head = np.flatnonzero(new)
     of = np.cumsum(new) - 1
-    more = d > d[head][of] if ordered else np.diff(np.append(head, len(c)))[of] > 1
-    flag, hidden = np.empty(len(c), bool), np.empty(len(c), bool)
-    flag[order] = more
-    hidden[order] = more if ordered else ~new
-    return flag & (state & ASK > 0), hidden
-
-
-def window_records(n_bins: int, spec: Spec, classes: np.ndarray, r: dict[str, np.ndarray], runs: dict[str, np.ndarray], keys: list[str]) -> pa.RecordBatch | None:
-    """One batch's open windows (keys, doc, mark, place, state) after its own comparison, and the runs of windows that
-    step 1 settled (doc, mark, place, count), which travel along."""
-    flag, hidden = settle_classes(classes, r["doc"], r["state"], spec.ordered) if len(classes) else (np.zeros(0, bool), np.zeros(0, bool))
-    keep = ~hidden | flag
-    r = {k: v[keep] for k, v in r.items()}
-    r["count"] = np.ones(len(r["doc"]), np.int32)
+    repeated, hidden = np.empty(len(c), bool), np.empty(len(c), bool)
+    repeated[order] = d > d[head][of] if ordered else np.diff(np.append(head, len(c)))[of] > 1
+    hidden[order] = repeated[order] if ordered else ~new
+    return repeated, hidden
+
+
+def merge_shards(r: dict[str, np.ndarray], ordered: bool) -> np.ndarray:
+    """Which records' windows recur in another shard (ordered: in a smaller document of another shard). Every shard's
+    digests are a sorted run; a record's are looked up in the merged run by binary search."""
+    order = np.lexsort((r["shard"], r["doc"], r["key2"], r["key"]))
+    key, two, doc, shard = (r[c][order] for c in ("key", "key2", "doc", "shard"))
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (two[1:] != two[:-1])])
+    head = np.flatnonzero(new)
+    of = np.searchsorted(head, np.arange(len(key)), "right") - 1
+    size = np.diff(np.append(head, len(key)))
+    out = np.zeros(len(key), bool)
+    if not ordered:
+        low, high = np.minimum.reduceat(shard, head), np.maximum.reduceat(shard, head)
+        out[order] = (low != high)[of]
+        return out
+    # A record's windows recur if a record of another shard has a smaller document: the first in order does, unless it
+    # is of the same shard, and then the first of any other shard counts.
+    first = shard[head]
+    other = np.where(shard != first[of], doc, np.iinfo(np.int64).max)
+    second = np.minimum.reduceat(other, head)
+    least = np.where(shard == first[of], second[of], doc[head][of])
+    out[order] = (doc > least) & (size[of] > 1)
+    return out
+
+
+def window_records(n_bins: int, spec: Spec, shard: int, classes: np.ndarray, r: dict[str, np.ndarray], runs: dict[str, np.ndarray], digest: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
+    """One shard's open windows (doc, mark, place, state) after its own comparison, with the digests of those shown, and
+    the runs of windows that step 1 settled (doc, mark, place, count), which travel along."""
+    repeated, hidden = settle_shard(classes, r["doc"], spec.ordered) if len(classes) else (np.zeros(0, bool), np.zeros(0, bool))
+    flag = repeated & (r["state"] & ASK > 0)
+    keep = np.flatnonzero(~hidden | flag)
     flag, hidden = flag[keep], hidden[keep]
-    key = r[keys[0]]
-    for k in keys[1:]:
-        key = textnum.mix(key ^ (r[k] << U(1)))
-    key = np.where(hidden, textnum.mix(r["doc"].astype(U)), key)
+    r = {k: v[keep] for k, v in r.items()}
+    r["count"] = np.ones(len(keep), np.int32)
+    shown = np.flatnonzero(~hidden)
+    # In ordered matters a class shows all windows of its least document; they have one digest.
+    r["key"], r["key2"] = np.zeros(len(keep), U), np.zeros(len(keep), U)
+    heads, back = np.unique(classes[keep[shown]], return_index=True, return_inverse=True)[1:]
+    one, two = digest(keep[shown[heads]])
+    r["key"][shown], r["key2"][shown] = one[back], two[back]
+    key = np.where(hidden, textnum.mix(r["doc"].astype(U)), r["key"])
     r["state"] = flag * FLAG | (r["state"] & ASK) | np.where(hidden, 0, SHOWN).astype(np.uint8)
+    r["shard"] = np.full(len(keep), shard)
     none = np.zeros(len(runs["doc"]), U)
-    runs = runs | {k: none for k in keys} | {"state": np.full(len(none), FLAG, np.uint8)}
-    names = [*keys, "doc", "mark", "place", "count", "state"]
+    runs = runs | {"key": none, "key2": none, "shard": none, "state": np.full(len(none), FLAG, np.uint8)}
     key = np.concatenate([key, textnum.mix(runs["doc"].astype(U))])
-    return rows(n_bins, key, {c: np.concatenate([r[c].astype(KINDS[c]), runs[c].astype(KINDS[c])]) for c in names})
-
+    return rows(n_bins, key, {c: np.concatenate([r[c].astype(KINDS[c]), runs[c].astype(KINDS[c])]) for c in WINDOW})
 
-def settle_windows(records: DataFrame, spec: Spec, keys: list[str], classes_of: Callable[[dict[str, np.ndarray]], np.ndarray]) -> DataFrame:
-    """Step 2's exchange: for each document the runs (place, count) of repeated windows."""
 
-    def run(table: pa.Table) -> pa.Table:
-        r = read(table, [*keys, "doc", "mark", "place", "count", "state"])
-        flag = r["state"] & FLAG > 0
-        shown = np.flatnonzero(r["state"] >= SHOWN)
-        if len(shown):
-            s = {c: v[shown] for c, v in r.items()}
-            flag[shown] |= settle_classes(classes_of(s), s["doc"], s["state"], spec.ordered)[0]
-        return pa.Table.from_batches([answers(r["doc"][flag], r["mark"][flag], place=r["place"][flag], count=r["count"][flag])])
-
-    return records.groupBy("bin").applyInArrow(run, "doc long, mark int, place binary, count binary")
+def settled_windows(table: pa.Table, ordered: bool) -> pa.Table:
+    """Step 2 for one bin: for each document the runs (place, count) of repeated windows."""
+    r = read(table, WINDOW)
+    flag = r["state"] & FLAG > 0
+    shown = np.flatnonzero(r["state"] >= SHOWN)
+    if len(shown):
+        s = {c: v[shown] for c, v in r.items()}
+        flag[shown] |= merge_shards(s, ordered) & (s["state"] & ASK > 0)
+    return pa.Table.from_batches([answers(r["doc"][flag], r["mark"][flag], place=r["place"][flag], count=r["count"][flag])])
 
 
 def per_document(found: DataFrame, *columns: str) -> DataFrame:
@@ -264,25 +309,40 @@ def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
 def resolve(
     docs: DataFrame,
     spec: Spec,
-    keys: list[str],
-    collect: Callable[[pa.RecordBatch, int], pa.RecordBatch | None],
-    open_windows: Callable[[pa.RecordBatch, int], pa.RecordBatch | None],
-    classes_of: Callable[[dict[str, np.ndarray]], np.ndarray],
+    collect: Callable[[pa.RecordBatch, int, dict[int, tuple[int, int]]], pa.RecordBatch | None],
+    open_windows: Callable[[pa.RecordBatch, int, Iterator[int]], Iterator[pa.RecordBatch | None]],
     finish: Callable[[pa.RecordBatch], pa.RecordBatch],
     schema: str,
     bin_bytes: int = 4 << 20,
 ) -> DataFrame:
     """The whole exchange over (doc, mark, text). The texts move once, by document key; both joins read that exchange."""
     n_bins = bins(docs, bin_bytes)
+
+    def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple[int, int]] = {}
+        for b in batches:
+            if b.num_rows and (out := collect(b, n_bins, known)) is not None:
+                yield out
+        release()
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = itertools.count(TaskContext.get().partitionId() << 32)  # a number for each shard of the whole job
+        for b in batches:
+            if b.num_rows:
+                yield from (out for out in open_windows(b, n_bins, shards) if out is not None)
+        release()
+
     # Both joins must see the very same input, or Spark would exchange the texts twice: an inner join adds a test for
     # null keys, so the test is made for both, and rows without an id come back at the end.
     nameless = docs.where("doc IS NULL").select("*", *[F.lit(None).cast("array<binary>").alias(c) for c in ("place", "count")])
     docs = docs.where("doc IS NOT NULL")
     raw = lambda names: "bin int, " + ", ".join(f"{c} binary" for c in names)
-    records = by_batch(docs, lambda b: collect(b, n_bins), raw(SUPER))
-    found = per_document(settle_supers(records, spec.ordered), "place", "state")
+    records = docs.mapInArrow(collected, raw(SUPER))
+    supers_ = records.groupBy("bin").applyInArrow(lambda t: settled_supers(t, spec.ordered), "doc long, mark int, place binary, state binary")
+    found = per_document(supers_, "place", "state")
     held = docs.join(found.hint("shuffle_hash"), ["doc", "mark"]).select("doc", "mark", "text", "place", "state")
-    windows = by_batch(held, lambda b: open_windows(b, n_bins), raw([*keys, "doc", "mark", "place", "count", "state"]))
-    flags = per_document(settle_windows(windows, spec, keys, classes_of), "place", "count")
+    windows = held.mapInArrow(opened, raw(WINDOW))
+    windows_ = windows.groupBy("bin").applyInArrow(lambda t: settled_windows(t, spec.ordered), "doc long, mark int, place binary, count binary")
+    flags = per_document(windows_, "place", "count")
     both = docs.join(flags.hint("shuffle_hash"), ["doc", "mark"], "left").select("doc", "mark", "text", "place", "count")
     return by_batch(both.union(nameless), finish, schema)

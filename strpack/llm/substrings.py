@@ -1,29 +1,31 @@
 """Substring deduplication over words by prefix-partitioned suffix trees.
 
-A suffix starts at every word that has a whole window (13 words) before its document's end. Suffixes are split by their
-leading words into groups of bounded size; each group's suffix tree, cut at the window's depth, is built from the sorted
-suffixes and their common prefixes, and every internal node at full depth is a maximal class of equal windows. In it all
-windows but those of the least document are repeats. ``repeats`` describes how few suffixes need to travel for that.
-
-Edge cases: null and short texts have no window and lose nothing; a passage repeated within one document only stays;
-rows that repeat an id are one document for this purpose (its windows are not smaller than themselves); a null id is
-never matched; extra columns are not read.
+A suffix starts at every word that has a whole window (13 words) before its document's end. ``repeats`` narrows them down
+to those that may recur; it brings them together by shard (a batch) and afterwards across shards. Within a shard,
+suffixes are split by their leading words into groups of bounded size, a prefix being lengthened word by word while its
+group is too large; each group's suffix tree, cut at the window's depth, is built from the sorted suffixes - words
+compared as words, not by hash - and their common prefixes. Every internal node at full depth is a maximal class of equal
+windows, and nothing else decides inside a shard. In each class all windows but those of the least document are repeats.
+
+Edge cases: null and short texts have no window and lose nothing; very long texts are whole; a passage repeated within
+one document only stays; rows that repeat an id are one document for this purpose (its windows are not smaller than
+themselves); a null id is never matched; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textnum
-from .repeats import ASK, FLAG, SEND, SUPER, U, Rolling, Spec, covered, joined, keyed, resolve, super_records, supers, window_records
+from .repeats import ASK, FLAG, SEND, SUPER, Rolling, Spec, covered, joined, keyed, resolve, super_records, supers, window_records
+from .repeats import digests as stretches
 
 SPEC = Spec(window=13, gram=5, ordered=True)
-#: Depths (in words) at which the tree may branch: the prefix lengths that split suffixes into groups.
-DEPTHS = (5, 9, 13)
 #: Suffixes that one subtree may hold before its prefix is lengthened.
 SUBTREE = 1 << 16
 
@@ -34,64 +36,105 @@ def _blocks(batch: pa.RecordBatch):
     for i, j, part, at in textnum.blocks(data, offsets):
         starts, ends, wo = textnum.words(part, at)
         hashes = textnum.word_hashes(part, starts, ends)
-        order = (textnum.grams(hashes, SPEC.gram) >> U(32)).astype(np.uint32)
+        order = (textnum.grams(hashes, SPEC.gram) >> np.uint64(32)).astype(np.uint32)
         for k in range(j - i):
             a, b = wo[k], wo[k + 1]
             yield i + k, hashes[a:b], order[a : max(a, b - SPEC.gram + 1)], part, starts[a:b], ends[a:b]
 
 
-def collect(batch: pa.RecordBatch, n_bins: int) -> pa.RecordBatch | None:
+def _joined_words(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A document's words joined by one blank each, and where they start and end there."""
+    if not len(starts):
+        return np.zeros(0, np.uint8), starts, ends
+    base = int(starts[0])
+    x = part[base : int(ends[-1])].copy()
+    keep = ~textnum.SPACE[x]
+    keep[ends[:-1] - base] = True
+    x[ends[:-1] - base] = 32
+    at = np.cumsum(ends - starts + 1)
+    return x[keep], at - (ends - starts + 1), at - 1
+
+
+def collect(batch: pa.RecordBatch, n_bins: int, known: dict[int, tuple[int, int]]) -> pa.RecordBatch | None:
     doc, mark = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
     parts: dict[str, list[np.ndarray]] = {c: [] for c in SUPER[:-1]}
-    for row, hashes, order, *_ in _blocks(batch):
+    for row, hashes, order, part, starts, ends in _blocks(batch):
         if (s := supers(order, SPEC)) is None:
             continue
         first, count, anchor = s
-        h = Rolling(hashes)
-        for c, v in (("anchor", h.of(anchor, anchor + SPEC.gram)), ("whole", textnum.mix(h.of(first, first + count + SPEC.window - 1) + count.astype(U))), ("doc", np.full(len(first), doc[row])), ("mark", np.full(len(first), mark[row])), ("place", np.arange(len(first)))):
+        text, a, b = _joined_words(part, starts, ends)
+        whole = stretches(text.tobytes(), a[first], b[first + count + SPEC.window - 2])
+        for c, v in (("anchor", Rolling(hashes).of(anchor, anchor + SPEC.gram)), ("whole", whole[0]), ("whole2", whole[1]), ("doc", np.full(len(first), doc[row])), ("mark", np.full(len(first), mark[row])), ("place", np.arange(len(first)))):
             parts[c].append(v)
-    return super_records(n_bins, SPEC, {c: np.concatenate(v) for c, v in parts.items()}) if parts["doc"] else None
+    return super_records(n_bins, SPEC, {c: np.concatenate(v) for c, v in parts.items()}, known) if parts["doc"] else None
+
+
+def word_ids(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number for each word (given as bytes one after another, and sizes): equal words, and only those, share one."""
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    array = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(words))])
+    return array.dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
-def subtrees(one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
-    """Class (deep node) of every suffix, given as the hashes of its words 1-5, 6-9 and 10-13. Groups of one prefix that
-    exceed SUBTREE are split by a longer prefix; each group's tree comes from its sorted suffixes."""
-    out, nodes = np.empty(len(one), np.int64), 0
-    todo = [(np.arange(len(one)), 0)]
-    levels = (one, two, three)
+def partition(ids: np.ndarray, at: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, int]]:
+    """(suffixes, words they have in common): groups of at most ``most`` suffixes by prefixes of variable length, small
+    neighbours together. A group that agrees in a whole window is one whatever its size."""
+    todo = [(np.arange(len(at)), 0)]
     while todo:
         group, depth = todo.pop()
-        if len(group) > SUBTREE and depth < len(levels):  # lengthen the prefix; small neighbours share a group
-            key = levels[depth][group]
-            order = np.argsort(key, kind="stable")
-            group, key = group[order], key[order]
-            edges = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
-            a = 0
-            while a < len(edges) - 1:
-                b = max(a + 1, int(np.searchsorted(edges, edges[a] + SUBTREE, "right")) - 1)
-                sub = group[edges[a] : edges[b]]
-                todo.append((sub, depth + 1 if b == a + 1 else len(levels)))
-                a = b
+        if len(group) <= most or depth == SPEC.window:
+            yield group, depth
             continue
-        order = group[np.lexsort((three[group], two[group], one[group]))]
-        # Common prefix with the suffix before, in words: 0, 5, 9 or 13. A node at full depth begins where it is less.
-        same = np.zeros(len(order), np.int64)
-        for level, deep in zip(levels, DEPTHS):
-            s = level[order]
-            step = same[1:] == (DEPTHS[DEPTHS.index(deep) - 1] if deep != DEPTHS[0] else 0)
-            same[1:] = np.where(step & (s[1:] == s[:-1]), deep, same[1:])
-        out[order] = nodes + np.cumsum(same < DEPTHS[-1])
-        nodes += len(order) + 1
+        key = ids[at[group] + depth]
+        order = np.argsort(key, kind="stable")
+        group, key = group[order], key[order]
+        edges = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
+        a = 0
+        while a < len(edges) - 1:
+            b = max(a + 1, int(np.searchsorted(edges, edges[a] + most, "right")) - 1)
+            todo.append((group[edges[a] : edges[b]], depth + (b == a + 1)))
+            a = b
+
+
+def subtree(ids: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the leaves of one group's tree in order, and how many words (at most a window) each has in common
+    with the leaf before. All agree in their first ``depth`` words."""
+    bits = max(1, int(ids.max(initial=0)).bit_length())
+    step, keys = max(1, 63 // bits), []
+    for a in range(depth, SPEC.window, step):  # several words in one sort key
+        k = np.zeros(len(at), np.int64)
+        for w in range(a, min(a + step, SPEC.window)):
+            k = k << bits | ids[at + w]
+        keys.append(k)
+    order = np.lexsort(keys[::-1]) if keys else np.arange(len(at))
+    sorted_, same, common = at[order], np.ones(max(0, len(at) - 1), bool), np.full(len(at), depth)
+    for w in range(depth, SPEC.window):
+        same = same & (ids[sorted_[1:] + w] == ids[sorted_[:-1] + w])
+        common[1:] += same
+    common[:1] = 0
+    return order, common
+
+
+def deep_nodes(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The internal node at full depth (or the leaf) that each of the suffixes ``at`` of the stream of words hangs from."""
+    out, nodes = np.empty(len(at), np.int64), 0
+    for group, depth in partition(ids, at, SUBTREE):
+        order, common = subtree(ids, at[group], depth)
+        out[group[order]] = nodes + np.cumsum(common < SPEC.window)
+        nodes += len(group) + 1
     return out
 
 
-def open_windows(batch: pa.RecordBatch, n_bins: int) -> pa.RecordBatch | None:
+def open_windows(batch: pa.RecordBatch, n_bins: int, shards: Iterator[int]) -> Iterator[pa.RecordBatch | None]:
     doc, mark = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
     place, state = joined(batch.column(3), "place"), joined(batch.column(4), "state")
-    names, more = ["one", "two", "three", "doc", "mark", "place", "state"], ["doc", "mark", "place", "count"]
+    names, more = ["doc", "mark", "place", "state", "at"], ["doc", "mark", "place", "count"]
     parts: dict[str, list[np.ndarray]] = {c: [np.zeros(0, np.int64)] for c in names}
     runs: dict[str, list[np.ndarray]] = {c: [np.zeros(0, np.int64)] for c in more}
-    for row, hashes, order, *_ in _blocks(batch):
+    text, begin, end, size, n_words = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
+    for row, _, order, part, starts, ends in _blocks(batch):
         if (s := supers(order, SPEC)) is None:
             continue
         first, count, _ = s
@@ -103,13 +146,19 @@ def open_windows(batch: pa.RecordBatch, n_bins: int) -> pa.RecordBatch | None:
         if len(o):
             n = count[p[o]]
             at = np.repeat(first[p[o]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            h = Rolling(hashes)
-            for c, v in zip(names, (h.of(at, at + 5), h.of(at + 5, at + 9), h.of(at + 9, at + 13), np.full(len(at), doc[row]), np.full(len(at), mark[row]), at, np.repeat(t[o], n))):
+            for c, v in zip(names, (np.full(len(at), doc[row]), np.full(len(at), mark[row]), at, np.repeat(t[o], n), at + n_words)):
                 parts[c].append(v)
-    r = {c: np.concatenate(v[1:] or v) for c, v in parts.items()}
-    for c in names[:3]:
-        r[c] = r[c].astype(U)
-    return window_records(n_bins, SPEC, subtrees(r["one"], r["two"], r["three"]), r, {c: np.concatenate(v) for c, v in runs.items()}, names[:3])
+            x, a, b = _joined_words(part, starts, ends)
+            text.append(x)
+            begin.append(a + size)
+            end.append(b + size)
+            size, n_words = size + len(x), n_words + len(a)
+    x, a, b = np.concatenate(text), np.concatenate(begin), np.concatenate(end)
+    r = {c: np.concatenate(v) for c, v in parts.items()}
+    at = r.pop("at")
+    classes = deep_nodes(word_ids(x[~textnum.SPACE[x]], b - a), at)
+    raw = x.tobytes()
+    yield window_records(n_bins, SPEC, next(shards), classes, r, {c: np.concatenate(v) for c, v in runs.items()}, lambda i: stretches(raw, a[at[i]], b[at[i] + SPEC.window - 1]))
 
 
 def _results(batch: pa.RecordBatch):
@@ -130,8 +179,7 @@ def kept_text(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, gone: np.n
 
 
 def _run(df: DataFrame, key: str, text: str, finish, schema: str) -> DataFrame:
-    classes = lambda r: subtrees(r["one"], r["two"], r["three"])
-    return resolve(keyed(df, key, text), SPEC, ["one", "two", "three"], collect, open_windows, classes, finish, schema)
+    return resolve(keyed(df, key, text), SPEC, collect, open_windows, finish, schema)
 
 
 def dedupe(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

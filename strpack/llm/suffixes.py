@@ -3,17 +3,20 @@
 A byte goes when a 200-byte string that covers it also starts anywhere else. ``repeats`` narrows the corpus down to the
 stretches where that is still open; each shard (a block of a batch's open stretches) then gets a suffix array by
 Larsson-Sadakane refinement in numpy - first by seven bytes, then doubling the sorted depth among unsorted groups only -
-and Kasai's common prefixes over it, which yield the shard's classes of equal strings. Every class sends one fingerprint;
-the shards' sorted fingerprint runs are merged by binary search, and what another shard holds too is a repeat.
-
-Edge cases: null and short texts (under 200 bytes) lose nothing unless, of course, nothing covers them; overlapping
-occurrences count; repeated rows are occurrences of each other; a null id is never matched; extra columns are not read;
-strings are judged on the input, not on what is left.
+and Kasai's common prefixes over it. Neighbours in the array with 200 bytes in common are the shard's classes of equal
+strings, and nothing else decides inside a shard. Every class sends one record with the digest of its string; the shards'
+sorted runs are merged by binary search, and what another shard holds too is a repeat.
+
+Edge cases: null and short texts (under 200 bytes) lose nothing; very long texts are whole, their open stretches making up
+one or more shards; overlapping occurrences count; repeated rows are occurrences of each other; a null id is never
+matched; an empty table gives an empty result; extra columns are not read; strings are judged on the input, not on what
+is left.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame
 
 from . import textnum
 from .repeats import ASK, FLAG, SEND, SUPER, U, Rolling, Spec, covered, joined, keyed, resolve, super_records, supers, window_records
+from .repeats import digests as stretches
 
 SPEC = Spec(window=200, gram=128, ordered=False)
 #: Bytes of open stretches in one suffix array.
@@ -116,42 +120,44 @@ def string_classes(x: np.ndarray, ends: np.ndarray, starts: np.ndarray, length:
     return classes[starts]
 
 
-def collect(batch: pa.RecordBatch, n_bins: int) -> pa.RecordBatch | None:
+def collect(batch: pa.RecordBatch, n_bins: int, known: dict[int, tuple[int, int]]) -> pa.RecordBatch | None:
     doc, mark = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
     data, offsets = textnum.flat(batch.column(2))
     parts: dict[str, list[np.ndarray]] = {c: [] for c in SUPER[:-1]}
     for row in np.flatnonzero(np.diff(offsets) >= SPEC.window):
         x = data[offsets[row] : offsets[row + 1]]
         first, count, anchor = supers(gram_order(x), SPEC)
-        h = Rolling(x.astype(U) + U(1))
-        n = len(first)
-        for c, v in (("anchor", h.of(anchor, anchor + SPEC.gram)), ("whole", textnum.mix(h.of(first, first + count + SPEC.window - 1) + count.astype(U))), ("doc", np.full(n, doc[row])), ("mark", np.full(n, mark[row])), ("place", np.arange(n))):
+        h, n = Rolling(x.astype(U) + U(1)), len(first)
+        whole = stretches(x.tobytes(), first, first + count + SPEC.window - 1)
+        for c, v in (("anchor", h.of(anchor, anchor + SPEC.gram)), ("whole", whole[0]), ("whole2", whole[1]), ("doc", np.full(n, doc[row])), ("mark", np.full(n, mark[row])), ("place", np.arange(n))):
             parts[c].append(v)
-    return super_records(n_bins, SPEC, {c: np.concatenate(v) for c, v in parts.items()}) if parts["doc"] else None
+    return super_records(n_bins, SPEC, {c: np.concatenate(v) for c, v in parts.items()}, known) if parts["doc"] else None
 
 
-def open_windows(batch: pa.RecordBatch, n_bins: int) -> pa.RecordBatch | None:
+def open_windows(batch: pa.RecordBatch, n_bins: int, shards: Iterator[int]) -> Iterator[pa.RecordBatch | None]:
     doc, mark = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
     data, offsets = textnum.flat(batch.column(2))
     place, state = joined(batch.column(3), "place"), joined(batch.column(4), "state")
-    names, more = ["key", "doc", "mark", "place", "state"], ["doc", "mark", "place", "count"]
+    names, more = ["doc", "mark", "place", "state", "start"], ["doc", "mark", "place", "count"]
     runs: dict[str, list[np.ndarray]] = {c: [np.zeros(0, np.int64)] for c in more}
-    parts: dict[str, list[np.ndarray]] = {c: [] for c in names}
-    classes: list[np.ndarray] = []
+    parts: dict[str, list[np.ndarray]] = {c: [np.zeros(0, np.int64)] for c in names}
     text: list[np.ndarray] = []
     ends: list[np.ndarray] = []
-    starts: list[np.ndarray] = []
-    size = nodes = 0
-
-    def shard() -> None:
-        """Classes of the stretches gathered so far; their numbers go on from the last shard's."""
-        nonlocal size, nodes
-        if starts:
-            c = string_classes(np.concatenate(text), np.concatenate(ends), np.concatenate(starts), SPEC.window)
-            classes.append(c + nodes)
-            nodes += size + 1
-        text.clear(), ends.clear(), starts.clear()
+    size = 0
+
+    def shard() -> pa.RecordBatch | None:
+        """The records of the stretches gathered so far."""
+        nonlocal size
+        r = {c: np.concatenate(v) for c, v in parts.items()}
+        settled = {c: np.concatenate(v) for c, v in runs.items()}
+        x, start = np.concatenate(text) if text else np.zeros(0, np.uint8), r.pop("start")
+        classes = string_classes(x, np.concatenate(ends), start, SPEC.window) if len(start) else start
+        raw = x.tobytes()
+        for v in (*parts.values(), *runs.values()):
+            del v[1:]
+        text.clear(), ends.clear()
         size = 0
+        return window_records(n_bins, SPEC, next(shards), classes, r, settled, lambda at: stretches(raw, start[at], start[at] + SPEC.window))
 
     for row in range(batch.num_rows):
         x = data[offsets[row] : offsets[row + 1]]
@@ -172,37 +178,18 @@ def open_windows(batch: pa.RecordBatch, n_bins: int) -> pa.RecordBatch | None:
         for a, b in zip([0, *cuts], [*cuts, len(at)]):  # runs of consecutive windows are one stretch of text
             piece = x[at[a] : at[b - 1] + SPEC.window]
             text.append(piece)
-            starts.append(size + np.arange(b - a))
+            parts["start"].append(size + np.arange(b - a))
             size += len(piece)
             ends.append(np.full(len(piece), size))
-        for c, v in zip(names, (Rolling(x.astype(U) + U(1)).of(at, at + SPEC.window), np.full(len(at), doc[row]), np.full(len(at), mark[row]), at, np.repeat(t[o], n))):
+        for c, v in zip(names, (np.full(len(at), doc[row]), np.full(len(at), mark[row]), at, np.repeat(t[o], n))):
             parts[c].append(v)
         if size >= SHARD:
-            shard()
-    shard()
-    r = {c: np.concatenate(v) if v else np.zeros(0, U if c == "key" else np.int64) for c, v in parts.items()}
-    # Strings that are equal in two shards of one batch are one class as well: shards are merged by their fingerprints.
-    local = _merged(np.concatenate(classes), r["key"]) if classes else np.zeros(0, np.int64)
-    return window_records(n_bins, SPEC, local, r, {c: np.concatenate(v) for c, v in runs.items()}, ["key"])
-
-
-def _merged(classes: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Classes across shards: each class's fingerprint is looked up by binary search among the sorted distinct ones."""
-    heads = np.unique(classes, return_index=True)[1]
-    runs = np.sort(key[heads])
-    runs = runs[np.concatenate([[True], runs[1:] != runs[:-1]])]
-    return np.searchsorted(runs, key)
-
-
-def merge_shards(r: dict[str, np.ndarray]) -> np.ndarray:
-    """Classes among batches: binary search of every shard's fingerprints in the merged, sorted run."""
-    runs = np.sort(r["key"])
-    runs = runs[np.concatenate([[True], runs[1:] != runs[:-1]])]
-    return np.searchsorted(runs, r["key"])
+            yield shard()
+    yield shard()
 
 
 def _run(df: DataFrame, key: str, text: str, finish, schema: str) -> DataFrame:
-    return resolve(keyed(df, key, text), SPEC, ["key"], collect, open_windows, merge_shards, finish, schema)
+    return resolve(keyed(df, key, text), SPEC, collect, open_windows, finish, schema)
 
 
 def _results(batch: pa.RecordBatch):
