@@ -16,7 +16,8 @@ million of those at the very threshold, and fewer above it.
 
 Edge cases: null and short texts (under five words) match nothing; items under five words are too short to identify a
 leak and are left out; an item repeated under several ids is reported for each; repeated rows and null ids are reported
-as they are; ties in similarity go to the earliest window; extra columns are not read; empty tables give empty results.
+as they are; very long texts are read whole; ties in similarity go to the earliest window; extra columns are not read;
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 N = 5
 SPACE = "[\\x20\\x09-\\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -37,6 +40,8 @@ class Params:
     radius: int = 23
     #: Item shingles up to this number are broadcast (16 bytes each and their hash table); more are joined by shuffle.
     broadcast_shingles: int = 1_000_000
+    #: Keys of texts with a window, up to this number, are broadcast (16 bytes each and their hash table).
+    broadcast_keys: int = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -127,8 +132,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), key: str
     docs = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("id", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
     items = benchmark.select("item_id", words(F.col("text")).alias("ws")).where(F.size("ws") >= N)
     items = items.select("item_id", F.size("ws").alias("size"), "ws")
-    starts = ranges(docs, items, p)
-    hit = docs.dropna(subset=["text"]).join(starts.hint("shuffle_hash"), ["id", "text_hash"]).select("doc_id", "text_hash", words(F.col("text")).alias("ws"), "ranges")
+    starts = cut(ranges(docs, items, p))
+    # Only texts with a window move: the others stay behind at the scan if the ids fit a broadcast.
+    few = docs.dropna(subset=["text"]).join(_keys(starts.select("id", "text_hash"), p), ["id", "text_hash"], "left_semi")
+    hit = few.join(starts, ["id", "text_hash"]).select("doc_id", "text_hash", words(F.col("text")).alias("ws"), "ranges")
     low, high = (lambda r: F.greatest(F.lit(0), r["from"])), (lambda r: F.least(r["to"], F.greatest(F.lit(0), F.size("ws") - r["size"])))
     inside = F.filter("ranges", lambda r: low(r) <= high(r))
     places = F.flatten(F.transform(inside, lambda r: F.transform(F.sequence(low(r), high(r)), lambda s: F.struct(r["size"].alias("size"), s.alias("start"), r["room"].alias("room")))))
@@ -148,8 +155,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), key: str
     return best.select("doc_id", "text_hash", "item_id", (-F.col("b.start")).cast("long").alias("start_word"), F.round("b.similarity", 6).alias("similarity"))
 
 
+def _keys(found: DataFrame, p: Params) -> DataFrame:
+    """The keys of a table, broadcast up to the bound."""
+    return F.broadcast(found) if found.count() <= p.broadcast_keys else found
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """docs without the rows that hold a benchmark item; all columns stay."""
-    found = leaks(docs, benchmark, p).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    found = cut(leaks(docs, benchmark, p).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("text_hash").alias("__hash")).distinct())
     same = (F.coalesce(docs["doc_id"], F.lit(-(1 << 63))) == found["__id"]) & (F.xxhash64(docs["text"].cast("string")) == found["__hash"])
-    return docs.join(found.hint("shuffle_hash"), same, "left_anti")
+    return docs.join(_keys(found, p), same, "left_anti")
