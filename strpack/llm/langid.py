@@ -2,37 +2,45 @@
 
 Texts become normalised TF-IDF vectors of hashed character n-grams (1 to 3 letters, case folded, other characters one
 blank). Training clusters the vectors of every language into a few centroids (spherical k-means), so that a language may
-have several modes; prediction takes the closest centroid by cosine and rejects what is far from all of them.
+have several modes; prediction takes the closest centroid by cosine and rejects what is farther from all of them than texts
+of the learned languages are. Short texts lie farther from their centroid than long ones, so the least cosine that is
+accepted depends on the number of letters; it comes from texts kept out of the centroids, whole and in pieces.
 
-Training sample: at most ``Params.sample`` labelled rows in expectation (rows kept by a hash of their text, at a rate per
-language computed from exact counts; copies of one text count once), reduced to vectors on the executors. Prediction reads every whole text.
+Training sample: about ``Params.sample`` labelled texts over all languages and at least one of each (texts kept by a hash,
+at a rate per language computed from its number of distinct texts; copies of one text count once), reduced to vectors on
+the executors. Prediction reads every whole text.
 
 Edge cases: null text and texts without a letter are ``und`` with score 0 and rejected; ties go to the first language
-in alphabetical order; with no labelled row at all everything is ``und``; other columns are not read.
+in alphabetical order; repeated rows get equal results; very long texts are counted in pieces that neither break a
+character nor lose an n-gram; with no labelled row at all everything is ``und``; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
 
-import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch
+from .common import by_batch, cut, drop_cut
 
 
 @dataclass(frozen=True)
 class Params:
     buckets: int = 4096  # hashed n-gram space
-    sample: int = 3000  # labelled rows to learn from, in expectation, over all languages
-    languages: int = 200  # most languages learned (the most frequent ones)
+    sample: int = 3000  # labelled texts to learn from, in expectation, over all languages
+    broadcast_languages: int = 100_000  # rates of so many languages are broadcast; more are joined by shuffle
     centroids: int = 3  # clusters per language
     rounds: int = 8  # k-means iterations
-    margin: float = 0.5  # rejected: a cosine below this share of the lowest one per mille of the training cosines
+    held: int = 10  # one in so many sampled texts is kept out to set the least cosines
+    pieces: tuple[int, ...] = (40, 80, 160, 320, 640)  # characters of the pieces cut from them for short texts
+    margin: float = 0.85  # rejected: a cosine of at most this share of the least one seen at that number of letters
+    shortest: int = 24  # letters under which only a cosine of zero is rejected
     seed: int = 7
 
 
@@ -43,7 +51,11 @@ class Model:
     lang_of: np.ndarray  # centroid -> language
     weights: np.ndarray  # (buckets, centroids): centroid components times idf
     idf: np.ndarray
-    floor: float
+    floors: np.ndarray  # least cosine at 2^k letters
+
+    def floor(self, letters: np.ndarray) -> np.ndarray:
+        at = np.interp(np.log2(np.maximum(letters, 1)), np.arange(len(self.floors)), self.floors)
+        return np.where(letters < self.params.shortest, 0.0, at)
 
 
 @lru_cache(1)
@@ -58,36 +70,56 @@ def _fold() -> np.ndarray:
     return out
 
 
-def has_letter(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+#: Bytes of a text that are counted at a time.
+PIECE = 1 << 20
+
+
+def _parts(t: bytes, size: int) -> Iterator[str]:
+    """A text in parts of about so many bytes, cut between characters."""
+    a = 0
+    while a < len(t):
+        b = min(len(t), a + size)
+        while a < b < len(t) and t[b] & 0xC0 == 0x80:
+            b -= 1
+        if b == a:  # a character longer than a part
+            b = min(len(t), a + size)
+            while b < len(t) and t[b] & 0xC0 == 0x80:
+                b += 1
+        yield t[a:b].decode("utf-8", "ignore")
+        a = b
 
 
-def counts(texts: list[bytes | None], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-gram counts of every text, and which texts have a letter."""
+def counts(texts: list[bytes | None], buckets: int, size: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-gram counts of every text, and its number of letters."""
     fold = _fold()
     out = np.zeros((len(texts), buckets), np.float32)
-    some = np.zeros(len(texts), bool)
+    letters = np.zeros(len(texts), np.int64)
     mask = np.uint32(buckets - 1)
     for i, t in enumerate(texts):
-        if not t:
-            continue
-        row = out[i]
-        for part in range(0, len(t), 1 << 20):  # long texts in pieces; an n-gram across a border is the only loss
-            text = t[part : part + (1 << 20)].decode("utf-8", "ignore")
+        row, before, blank = out[i], np.zeros(1, np.uint32), True
+        for text in _parts(t or b"", size):
             x = fold[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+            if not len(x):
+                continue
             keep = x != 0
-            if not keep.any():
+            letters[i] += int(keep.sum())
+            inked = keep.copy()
+            keep[1:] |= inked[:-1]  # one blank after each word
+            keep[0] |= not blank
+            blank = not inked[-1]
+            y = x[keep]
+            if not len(y):
                 continue
-            some[i] = True
-            keep[1:] |= x[:-1] != 0  # one blank after each word
-            x = np.concatenate([np.zeros(1, np.uint32), x[keep]])
+            x = np.concatenate([before, y])
             h1 = (x + np.uint32(1)) * np.uint32(0x9E3779B1)
             h2 = (h1[:-1] ^ (h1[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + h1[1:]
             h3 = (h2[:-1] ^ (h2[:-1] >> np.uint32(13))) * np.uint32(0xC2B2AE35) + h1[2:]
-            for h in (h1[1:], h2, h3):
+            k = len(before)  # n-grams that end before this part were counted with the last one
+            for h in (h1[k:], h2[k - 1 :], h3[max(0, k - 2) :]):
                 h = h ^ (h >> np.uint32(16))
                 row += np.bincount(((h * np.uint32(0x27D4EB2F)) >> np.uint32(12)) & mask, minlength=buckets)
-    return out, some
+            before = x[-2:]
+    return out, letters
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -98,36 +130,59 @@ def _damped(c: np.ndarray) -> np.ndarray:
     return np.log1p(c)
 
 
+def _floors(best: np.ndarray, letters: np.ndarray, p: Params, least: int = 30) -> np.ndarray:
+    """Least accepted cosine at 2^k letters: of the octaves with enough held-out texts, the others by their neighbours."""
+    octave = np.floor(np.log2(np.maximum(letters, 1)) + 0.5).astype(int)
+    known = [k for k in range(int(octave.max(initial=0)) + 1) if (octave == k).sum() >= least]
+    if not known:
+        return np.zeros(1)
+    return np.interp(np.arange(known[-1] + 1), known, [p.margin * best[octave == k].min() for k in known])
+
+
 def fit(df: DataFrame, params: Params = Params(), text: str = "text", lang: str = "lang") -> Model:
     """Learn from the rows of df with a text and a non-null language; nothing but these two columns is read."""
-    rows = df.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    n = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(params.languages).collect()}
-    langs, buckets = sorted(n), params.buckets
-    if not langs:
-        return Model(params, [], np.zeros(0, int), np.zeros((buckets, 0), np.float32), np.ones(buckets, np.float32), 1.0)
-    each = max(1, params.sample // len(langs))
-    space = 1 << 40
-    rate = F.create_map(*[F.lit(x) for g in langs for x in (g, min(space, each * space // n[g]))])
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit(params.seed), "text"), F.lit(space)) < rate[F.col("lang")])
+    space, buckets = 1 << 40, params.buckets
+    rows = df.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    rows = rows.withColumn("h", F.pmod(F.xxhash64(F.lit(params.seed), "text"), F.lit(space)))
+    stats = cut(rows.groupBy("lang").agg(F.approx_count_distinct("text", 0.02).alias("n"), F.min("h").alias("least")))
+    count = stats.count()
+    each, nothing = max(1, params.sample // max(1, count)), Model(params, [], np.zeros(0, int), np.zeros((buckets, 0), np.float32), np.ones(buckets, np.float32), np.zeros(1))
+    rates = stats.select("lang", F.greatest("least", (F.lit(each) * F.lit(float(space)) / F.col("n")).cast("long")).alias("most"))
+    chosen = rows.join(F.broadcast(rates) if count <= params.broadcast_languages else rates, "lang").where("h <= most")
+    # Copies of one text share its hash; one of them is enough, and a hot text cannot swell the sample.
+    chosen = chosen.dropDuplicates(["lang", "text"]).select("lang", F.col("text").cast("binary"), (F.pmod(F.xxhash64(F.lit(params.seed + 1), "text"), F.lit(params.held)) == 0).alias("held"))
 
     def vector(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c, some = counts([t.as_py() for t in batch.column(1)], buckets)
-        return pa.record_batch([batch.column(0), pa.array([r.astype(np.float16).tobytes() if s else None for r, s in zip(np.minimum(c, 60000), some)], pa.binary())], names=["lang", "v"])
-
-    # Copies of one text share its hash; one of them is enough, and a hot text cannot swell the sample.
-    chosen = chosen.dropDuplicates(["lang", "text"])
-    got = by_batch(chosen.select("lang", F.col("text").cast("binary")), vector, "lang string, v binary").where("v IS NOT NULL").orderBy("lang", "v").toArrow()
-    labels = np.array([langs.index(x) for x in got["lang"].to_pylist()], int)
-    if not len(labels):
-        return Model(params, [], np.zeros(0, int), np.zeros((buckets, 0), np.float32), np.ones(buckets, np.float32), 1.0)
-    x = np.stack([np.frombuffer(v, np.float16) for v in got["v"].to_pylist()]).astype(np.float32)
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
-    x = _unit(_damped(x) * idf)
+        out = []
+        for lang, t, held in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            pieces = [t] + ([s[:n].encode() for s in [t.decode("utf-8", "replace")] for n in params.pieces if len(s) > n] if held else [])
+            c, letters = counts(pieces, buckets)
+            out += [(lang, r.astype(np.float16).tobytes(), held, int(n)) for r, n in zip(np.minimum(c, 60000), letters) if n]
+        kinds = pa.string(), pa.binary(), pa.bool_(), pa.int64()
+        return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out) if out else ((),) * 4, kinds)], names=["lang", "v", "held", "letters"])
+
+    got = by_batch(chosen, vector, "lang string, v binary, held boolean, letters long").orderBy("lang", "held", "v").toArrow()
+    drop_cut(stats)
+    held = got["held"].to_numpy()
+    if not got.num_rows:
+        return nothing
+    langs = sorted(set(got["lang"].to_pylist()))
+    labels, sizes = np.searchsorted(langs, np.array(got["lang"].to_pylist(), object)), got["letters"].to_numpy()
+    x = np.empty((got.num_rows, buckets), np.float32)
+    for i, v in enumerate(got["v"]):
+        x[i] = np.frombuffer(v.as_buffer(), np.float16)
+    del got
+    for k in range(len(langs)):  # a language with held-out texts only learns from them
+        if held[labels == k].all():
+            held = held & (labels != k)
+    idf = (np.log((1 + (~held).sum()) / (1 + (x > 0)[~held].sum(0))) + 1).astype(np.float32)
+    # In place: the driver holds this matrix once.
+    np.log1p(x, out=x)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
     rng, centroids, of = np.random.default_rng(params.seed), [], []
     for k in range(len(langs)):
-        own = x[labels == k]
-        if not len(own):
-            continue
+        own = x[(labels == k) & ~held]
         c = own[rng.choice(len(own), min(params.centroids, len(own)), replace=False)]
         for _ in range(params.rounds):
             near = (own @ c.T).argmax(1)
@@ -135,8 +190,8 @@ def fit(df: DataFrame, params: Params = Params(), text: str = "text", lang: str
         centroids.append(c)
         of += [k] * len(c)
     c = np.concatenate(centroids)
-    best = (x @ c.T).max(1)
-    return Model(params, langs, np.array(of), (c * idf).T.astype(np.float32).copy(), idf, float(params.margin * np.quantile(best, 0.001)))
+    floors = _floors((x[held] @ c.T).max(1, initial=0.0), sizes[held], params)
+    return Model(params, langs, np.array(of), (c * idf).T.astype(np.float32).copy(), idf, floors)
 
 
 def predict(df: DataFrame, model: Model, *keep: str, text: str = "text") -> DataFrame:
@@ -151,8 +206,8 @@ def predict(df: DataFrame, model: Model, *keep: str, text: str = "text") -> Data
         m, texts = shared.value, batch.column(at).cast(pa.binary())
         langs, scores, rejected = [], [], []
         for i in range(0, len(texts), 256):
-            c, some = counts([t.as_py() for t in texts[i : i + 256]], m.params.buckets)
-            c = _damped(c)
+            c, letters = counts([t.as_py() for t in texts[i : i + 256]], m.params.buckets)
+            c, some, floor = _damped(c), letters > 0, m.floor(letters)
             size = np.linalg.norm(c * m.idf, axis=1)
             some &= size > 0
             if m.langs:
@@ -164,7 +219,7 @@ def predict(df: DataFrame, model: Model, *keep: str, text: str = "text") -> Data
             for k in range(len(c)):
                 langs.append(m.langs[m.lang_of[best[k]]] if some[k] else "und")
                 scores.append(float(round(float(top[k]), 6)) if some[k] else 0.0)
-                rejected.append(not some[k] or float(top[k]) < m.floor)
+                rejected.append(bool(not some[k] or top[k] <= floor[k]))
         return pa.record_batch([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=names)
 
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["lang_pred string, score double, rejected boolean"])
