@@ -6,7 +6,9 @@ token ``t`` for which (last token of the prefix before ``t``, ``t``) is a pair t
 back-pointers from the end gives the exact ids, in time linear in the word, without replaying merges.
 
 Results for edge cases: null text counts as empty (no ids); an empty text has no ids and decodes to ''; special tokens
-in a text are matched first, as the tokenizers library does; words of any length are one dynamic program.
+in a text are matched first, as the tokenizers library does; words of any length are one dynamic program; ties cannot
+occur, as a prefix has one encoding; repeated rows get equal results; an empty table gives an empty result; extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -14,10 +16,13 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import os
 import re
+from array import array
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -29,9 +34,9 @@ _WS = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: Words (of at most MEMO_BYTES) and pairs of tokens that each half of a task's memory holds; it only saves time.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 120_000
 MEMO_BYTES = 40
-MEMO_PAIRS = 500_000
+MEMO_PAIRS = 300_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -173,6 +178,11 @@ class Bpe:
 
 @lru_cache(2)
 def load(path: str) -> Bpe:
+    """The vocabulary at a path. A task whose machine keeps the file elsewhere finds it by name in the installed package."""
+    if not os.path.exists(path):
+        import public_tokenizers
+
+        path = public_tokenizers.path(os.path.basename(path))
     gc.set_threshold(200_000, 20, 20)  # the memory holds no cycles; the default would scan it all the time
     return Bpe(path)
 
@@ -201,6 +211,24 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
     return by_batch(df.select(key, ids), run, f"`{key}` {kind}, text string")
 
 
+def coded(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Encode and decode in one pass: key, n_tokens, ids ARRAY<INT>, decoded_sha256 (of the decoded text in UTF-8)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bpe, n, ids, sums = load(path), [], [], []
+        for t in batch.column(1):
+            x = bpe.encode(str(t.as_buffer() or b"", "utf-8", "replace") if t.is_valid else "")
+            n.append(len(x))
+            ids.append(array("i", x))
+            sums.append(hashlib.sha256(bpe.decode(x).encode()).hexdigest())
+        flat = pa.array(np.frombuffer(b"".join(x.tobytes() for x in ids), np.int32))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(sums, pa.string())], names=[key, "n_tokens", "ids", "decoded_sha256"])
+
+    kind = dict(df.dtypes)[key]
+    return by_batch(text_of(df, key, text=text), run, f"`{key}` {kind}, n_tokens long, ids array<int>, decoded_sha256 string", lambda: load(path).forget())
+
+
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode, decode, and reduce both to digests in the same pass: key, n_tokens, ids_sha256, decoded_sha256."""
     name: dict[int, str] = {}

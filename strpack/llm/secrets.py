@@ -7,7 +7,9 @@ greedy end; both only run at hits. Matches are leftmost and non-overlapping per
 test still uses up its text, exactly as a search with that expression would.
 
 Edge cases: null text counts as empty (no spans); offsets are code points, end exclusive; texts of any length are
-scanned whole with constant extra memory; ties cannot occur within a kind, and across kinds the listed order decides.
+scanned whole with constant extra memory; ties cannot occur within a kind, and across kinds the listed order decides;
+repeated rows get equal results; an empty table gives an empty result; extra columns are not read. "In either case" means
+A-Z only: letters that other engines fold onto them (U+017F, U+212A) do not match.
 """
 
 from __future__ import annotations
