@@ -3,6 +3,12 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir), works on all rows its predecessor kept and
 returns a DataFrame, which is written as Parquet and read back as the next one's docs. All but the last stage return the
 columns of documents. The driver's check writes the tables itself; ``run`` does so in the cluster's shared folder.
+
+Edge cases, in every stage: an empty table gives an empty table; columns beyond those of documents are left behind, whatever
+their names; nulls in lang, source and n_chars stay. Null and empty texts have no language, so they go in the first stage
+(given to a later one, they are kept, have nothing in common with anything, and have no tokens). Repeated rows are one document: the second stage keeps one.
+Rows with one id and different texts are kept or go together there, and are judged row by row elsewhere. A null id groups
+with nothing. Ties between members of a group go to the least id. Very long texts are processed whole.
 """
 
 from __future__ import annotations
@@ -26,8 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group (similarity 0.8 or more) stays: the least id."""
     found = nearness.groups(docs, nearness.Params(numerator=80)).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.select(*COLUMNS, F.xxhash64("text").alias("__text")).join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti")
-    # Repeated rows are one document; the join has already brought them together, so no further exchange is needed.
+    left = docs.select(*COLUMNS, F.xxhash64("text").alias("__text")).join(found, F.col("doc_id") == F.col("__gone"), "left_anti")
+    # Repeated rows are one document. Where the join exchanged rows by id, they are together and need no other exchange.
     return left.dropDuplicates(["doc_id", "__text"]).select(*COLUMNS)
 
 
@@ -43,9 +49,8 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    out = bpe.encode(docs, catalog.vocabulary())
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Token ids of every document, and the digest of the text that they decode to."""
+    return bpe.coded(docs, catalog.vocabulary())
 
 
 STAGES = [
