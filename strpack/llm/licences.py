@@ -5,9 +5,10 @@ paragraph (comment signs at their ends do not count). Scored are every line, eve
 paragraph the lines that follow it up to half, one and two times the longest template, so that a wrapped notice is also
 found amid other text. Its features are the words and word pairs it has in common with the model's sparse vocabulary
 (numbers count as ``#``). Multinomial logistic regression with an L1 penalty, trained on the driver from the templates
-below with words dropped and foreign words added, and from sentences that are no licence, gives a probability for each
-family and for ``unknown``; a temperature fitted on examples kept out of training calibrates it. A family is confirmed
-if it wins and the paragraph holds enough of one of its templates' features.
+below with words dropped and foreign words added, from notices of licences of no family here, and from sentences that are
+no licence, gives a probability for each family and for ``unknown``; a temperature fitted on examples kept out of
+training, among them whole licences that training never saw, calibrates it. A family is confirmed if it wins and the
+paragraph holds enough of one of its templates' features, and enough of those that no other family has.
 
 The first pass looks for the words of ``needles``, derived from the templates: whatever holds ``confirm`` of a
 template's features has one of them. What it keeps is scored once for each distinct text, and the scores are joined back
@@ -19,7 +20,8 @@ reported run are not reported by themselves unless confirmed, and what is confir
 another family's template is a fragment of that.
 
 Edge cases: null and empty texts have no paragraphs; repeated rows are each reported; ties between families go to the
-first in alphabetical order; extra columns are not read; very long lines are scored like any other.
+first in alphabetical order; extra columns are not read; very long lines are scored like any other; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -58,12 +60,25 @@ ORDINARY = (
     "You may not use this door.", "A copy of the letter was granted to any person who asked.", "The source of the river and the form of the valley.", "The work is under way and the conditions are met.",
     "International attribution of the painting to the school is common.", "The license plate was under the seat.", "In this case the license of the bar was not renewed.", "Released under pressure, the captain gave in.",
 )
+#: Notices of licences that belong to no family: training calls them unknown, so that the frame of a notice alone
+#: ("licensed under the ... license, version #") proves nothing.
+OTHERS = (
+    "Licensed under the Eclipse Public License 2.0.", "Licensed under the Boost Software License, Version 1.0.", "This software is provided under the zlib license.", "Released under the Artistic License 2.0.",
+    "This is free and unencumbered software released into the public domain.", "Licensed under the Academic Free License, version 3.0.", "This program is licensed under the Common Public License, version 1.0.", "Distributed under the terms of the Open Database License.",
+    "Use of this source code is governed by a proprietary license that can be found in the file.", "Licensed under the Acme License, Version 2.0; you may not copy this file.", "This work is licensed under a Free Art License.", "Permission to read this document is hereby granted to any person of the company.",
+)
+#: The same, but seen only when the temperature is fitted.
+UNSEEN = (
+    "Licensed under the European Union Public Licence, version 1.2.", "Licensed under the Common Development and Distribution License, version 1.0.", "Released under the Do What You Want License.", "This work is licensed under the Design Science License.",
+    "This program is distributed under the terms of the Q Public License, version 1.0.", "Use of this library is governed by the vendor license agreement.",
+)
 CUE = r"(?i)licen[cs]|copyright|permission|redistribut|gpl|cc0"
 
 
 @dataclass(frozen=True)
 class Params:
     confirm: float = 0.6  # share of a template's features that a confirmed paragraph holds
+    own: float = 0.5  # and of those of its features that no other family's templates have
     probability: float = 0.5
     penalty: float = 0.002
     steps: int = 400
@@ -111,25 +126,27 @@ def train(p: Params = Params()) -> Model:
     rng = random.Random(5)
     classes = [*sorted(TEMPLATES), UNKNOWN]
     filler = sorted({w for s in ORDINARY for w in s.lower().rstrip(".").split()})
-    texts, labels = [], []
+    texts, labels, aside = [], [], []
     for c, family in enumerate(classes):
-        for t in TEMPLATES.get(family, ORDINARY):
+        for t in TEMPLATES.get(family, ORDINARY + OTHERS + UNSEEN):
             for k in range(p.copies):
                 ws = t.split(" ")
                 if k:
-                    ws = [w for w in ws if rng.random() > (0.04 if family != UNKNOWN else 0.3)]
+                    ws = [w for w in ws if rng.random() > (0.04 if family != UNKNOWN else 0.1 if t in OTHERS + UNSEEN else 0.3)]
                     ws = [rng.choice(filler) for _ in range(rng.randint(0, 4))] + ws + [rng.choice(filler) for _ in range(rng.randint(0, 4))]
                 texts.append(" ".join(ws))
                 labels.append(c)
+                aside.append(t in UNSEEN)
     for _ in range(len(texts) // 4):  # texts without any known word belong to no family
         texts.append(" ".join(rng.sample(filler, rng.randint(0, 3))))
         labels.append(len(classes) - 1)
-    known = sorted({f for ts in TEMPLATES.values() for t in ts for f in features(t)} | {f for t in ORDINARY for f in features(t)})
+        aside.append(False)
+    known = sorted({f for ts in (*TEMPLATES.values(), ORDINARY, OTHERS) for t in ts for f in features(t)})
     index = {f: i for i, f in enumerate(known)}
     x, y = np.zeros((len(texts), len(known))), np.array(labels)
     for r, t in enumerate(texts):
         x[r, [index[f] for f in features(t) if f in index]] = 1
-    held = np.arange(len(texts)) % 5 == 0
+    held = (np.arange(len(texts)) % 5 == 0) | np.array(aside)
     w, b = np.zeros((len(known), len(classes))), np.zeros(len(classes))
     target = np.eye(len(classes))[y]
     xt, tt, rate = x[~held], target[~held], 4.0
@@ -151,6 +168,13 @@ def train(p: Params = Params()) -> Model:
     return Model(classes, {f: [round(float(v), 6) for v in w[i]] for f, i in index.items() if w[i].any()}, [round(float(v), 6) for v in b], temperature)
 
 
+@lru_cache(1)
+def own_features() -> dict[str, list[str]]:
+    """Of every template the features that no other family's templates have."""
+    of = {f: {g for t in ts for g in features(t)} for f, ts in TEMPLATES.items()}
+    return {t: [g for g in features(t) if not any(g in x for o, x in of.items() if o != f)] for f, ts in TEMPLATES.items() for t in ts}
+
+
 def needles(confirm: float) -> list[str]:
     """Words such that without any of them a text holds less than ``confirm`` of each template's features."""
     chosen: list[str] = []
@@ -217,7 +241,8 @@ def chosen(found: DataFrame) -> DataFrame:
 def scan(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, line (from 0), family, probability, template_share, confirmed: notices, and lines with a cue word; a run of lines by its first."""
     spark, model = df.sparkSession, train(p)
-    kept = df.select(F.col(key), F.col(text).alias("text")).where(worth(F.col(text), p)).withColumn("text_id", F.sha2("text", 256))
+    # The first pass reads the corpus once; what it keeps is read several times.
+    kept = cut(df.select(F.col(key), F.col(text).alias("text")).where(worth(F.col(text), p)).withColumn("text_id", F.sha2("text", 256)))
     lines = runs(kept.select("text_id", "text").dropDuplicates(["text_id"])).where(worth(F.col("paragraph"), p))
     lines = cut(lines)  # read several times
     distinct = lines.select("paragraph").distinct()
@@ -230,11 +255,15 @@ def scan(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "
     z = z.withColumn("top", F.array_max("z")).withColumn("best", F.array_position("z", F.col("top")).cast("int") - 1)
     total = F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("top")))
     z = z.withColumn("probability", F.round(1 / total, 4)).withColumn("family", F.get(F.array(*map(F.lit, model.classes)), F.col("best")))
-    shares = F.lit(None).cast("double")
+    shares, held = F.lit(None).cast("double"), F.lit(False)
+    part = lambda fs: F.size(F.array_intersect("features", F.array(*map(F.lit, fs)))) / len(fs)
     for family, ts in TEMPLATES.items():
-        own = [F.size(F.array_intersect("features", F.array(*map(F.lit, features(t))))) / len(features(t)) for t in ts]
-        shares = F.when(F.col("family") == family, F.greatest(*own) if len(own) > 1 else own[0]).otherwise(shares)
-    scored = z.select("paragraph", "family", "probability", F.round(F.coalesce(shares, F.lit(0.0)), 4).alias("template_share"))
-    scored = scored.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("probability") >= p.probability) & (F.col("template_share") >= p.confirm))
+        each = [part(features(t)) for t in ts]
+        enough = [(F.round(x, 4) >= p.confirm) & (part(own_features()[t]) >= p.own) for x, t in zip(each, ts)]
+        is_it = F.col("family") == family
+        shares = F.when(is_it, F.greatest(*each) if len(each) > 1 else each[0]).otherwise(shares)
+        held = F.when(is_it, reduce(lambda a, b: a | b, enough)).otherwise(held)
+    scored = z.select("paragraph", "family", "probability", F.round(F.coalesce(shares, F.lit(0.0)), 4).alias("template_share"), held.alias("held"))
+    scored = scored.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("probability") >= p.probability) & F.col("held")).drop("held")
     found = chosen(cut(lines.join(scored, "paragraph").withColumn("cue", F.col("paragraph").rlike(CUE)).drop("paragraph")))
     return kept.select(key, "text_id").join(found, "text_id").select(key, "line", "family", "probability", "template_share", "confirmed")
