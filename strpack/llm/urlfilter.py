@@ -6,11 +6,15 @@ nothing wrong through. Walking the levels is then exact for every key of the uni
 arrays of 64-bit words that a scalar subquery brings into the plan, a few bits for each listed key.
 
 Everything is DataFrame operations: keys are hashed with xxhash64, words are built by bit_or in a grouped aggregate, and
-probing is getbit on array elements. The total size is checked while building; beyond ``most_bits`` the cascade is given
-up for an equi-join with the listed keys, which gives the same answers.
+probing is getbit on array elements. A level's words come in segments, each a subquery of its own, so that no array is
+larger than SEGMENT whatever the list. With a quarter of the corpus's keys listed, all levels together take 6 to 7 bits a listed
+key. The total is checked while building, since every executor holds it: up to ``most_bits`` (256 MiB, some 300 million
+listed keys of the corpus) the cascade answers; what is larger than that is no broadcast any more, and an equi-join with the
+listed keys gives the same answers.
 
 Edge cases: a null url, or one without ``://``, has the empty host and path, which no rule fits and no list holds;
-duplicate listed keys count once; an empty list or universe lists nothing; extra columns are not read.
+duplicate listed keys count once; repeated rows get equal verdicts; very long urls are read whole; an empty list or
+universe lists nothing; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import cut, drop_cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words of one segment of a level: 8 MiB.
+SEGMENT = 1 << 20
 #: (verdict, host, path): a rule fits its host and all subdomains if the url's path starts with the rule's.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -48,7 +54,7 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 class Level:
     bits: int
     hashes: int
-    words: DataFrame  # (word INT, bits BIGINT), only words that are not zero
+    words: DataFrame  # (word BIGINT, bits BIGINT), only words that are not zero
 
 
 @dataclass
@@ -66,10 +72,9 @@ class Cascade:
         if self.listed is not None:
             listed = self.listed.select(F.col("key").alias("__key"), F.lit(True).alias(name))
             return df.join(listed, df[key] == listed["__key"], "left").drop("__key").fillna(False, [name])
-        columns = {f"__level{i}": _packed(level).scalar() for i, level in enumerate(self.levels)}
         out = F.lit(len(self.levels) % 2 == 1)  # what passed every level belongs to the side that the last one encodes
         for i in reversed(range(len(self.levels))):
-            out = F.when(~_passes(F.col(key), i, self.levels[i], columns[f"__level{i}"]), F.lit(i % 2 == 1)).otherwise(out)
+            out = F.when(~_passes(F.col(key), i, self.levels[i]), F.lit(i % 2 == 1)).otherwise(out)
         return df.withColumn(name, F.coalesce(out, F.lit(False)))
 
 
@@ -79,23 +84,28 @@ def _positions(key: Column, i: int, level_bits: int, hashes: int) -> list[Column
     return [F.pmod(a + b * k, F.lit(level_bits)) for k in range(hashes)]
 
 
-def _passes(key: Column, i: int, level: Level, words: Column) -> Column:
+def _passes(key: Column, i: int, level: Level) -> Column:
+    segments = [_packed(level, a).scalar() for a in range(0, level.bits // 64, SEGMENT)]
     out = F.lit(True)
     for p in _positions(key, i, level.bits, level.hashes):
-        word = F.get(words, F.shiftright(p, 6).cast("int"))
+        at = F.shiftright(p, 6)
+        word = F.get(segments[0], at.cast("int"))
+        for k, words in enumerate(segments[1:], 1):
+            word = F.when(at >= k * SEGMENT, F.get(words, (at - k * SEGMENT).cast("int"))).otherwise(word)
         out = out & (F.getbit(word, F.pmod(p, F.lit(64)).cast("int")) == 1)
     return out
 
 
-def _packed(level: Level) -> DataFrame:
-    """One row: all words in order, zeros included."""
-    spark = level.words.sparkSession
-    every = spark.range(0, level.bits // 64, 1, 1).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
-    dense = level.words.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+def _packed(level: Level, start: int) -> DataFrame:
+    """One row: the words of a segment in order, zeros included."""
+    spark, end = level.words.sparkSession, min(level.bits // 64, start + SEGMENT)
+    every = spark.range(start, end, 1, 1).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    own = level.words.where((F.col("word") >= start) & (F.col("word") < end))
+    dense = own.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
     return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words"))
 
 
-def build(universe: DataFrame, listed: DataFrame, most_bits: int = 1 << 24, most_levels: int = 40) -> Cascade:
+def build(universe: DataFrame, listed: DataFrame, most_bits: int = 1 << 31, most_levels: int = 128) -> Cascade:
     """universe, listed: DataFrames with a column ``key``. The universe may repeat keys; it is reduced by a grouped
     aggregate (partial sums first, so hot keys cost nothing) and kept as a table while the levels are built."""
     both = universe.select("key", F.lit(0).alias("l"), F.lit(1).alias("u")).unionByName(listed.select("key", F.lit(1).alias("l"), F.lit(0).alias("u")))
@@ -103,25 +113,29 @@ def build(universe: DataFrame, listed: DataFrame, most_bits: int = 1 << 24, most
     yes = keys.where("listed").count()
     total, out, made = keys.count(), Cascade(), 0
     inside, outside = keys.where("listed").select("key"), keys.where("NOT listed").select("key")
-    n, other, i = yes, total - yes, 0
+    n, other, i, passed = yes, total - yes, 0, []
     while n:
         rate = min(0.5, max(1e-6, n / max(1, other) * 0.7)) if i == 0 else 0.5
         hashes = max(1, round(-math.log2(rate)))
         bits = max(128, -(-math.ceil(n * hashes / math.log(2)) // 64) * 64)
         made += bits
         if made > most_bits or i >= most_levels:
+            for x in (*passed, *(level.words for level in out.levels)):
+                drop_cut(x)
             return Cascade(listed=keys.where("listed").select("key"))
         at = F.explode(F.array(*_positions(F.col("key"), i, bits, hashes)))
-        words = inside.select(at.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(p, 64) AS INT)))").alias("bits"))
-        level = Level(bits, hashes, cut(words, 1))
+        words = inside.select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(p, 64) AS INT)))").alias("bits"))
+        level = Level(bits, hashes, cut(words))
         out.levels.append(level)
-        wrong = cut(outside.where(_passes(F.col("key"), i, level, _packed(level).scalar())))
+        wrong = cut(outside.where(_passes(F.col("key"), i, level)))
+        passed.append(wrong)
         inside, outside, n, other, i = wrong, inside, wrong.count(), n, i + 1
-    drop_cut(keys)
+    for x in (keys, *passed):
+        drop_cut(x)
     return out
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules=RULES, key: str = "page_id", url: str = "url", most_bits: int = 1 << 24) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules=RULES, key: str = "page_id", url: str = "url", most_bits: int = 1 << 31) -> DataFrame:
     """key, host, path, rule, verdict: the longest fitting rule's verdict; where none fits, block if the host is listed."""
     host, path = host_path(F.col("url"))
     base = pages.select(F.col(key), F.col(url).alias("url")).select(key, host.alias("host"), path.alias("path"))
