@@ -5,8 +5,12 @@ None, Sub and Up gives the smallest residue, compresses the rows into zlib data
 reading tests signature, order and CRC of every chunk, inflates, and undoes all five filters with numpy. The feature is
 a 64-bit hash of the image's low cosine frequencies, kept as a BINARY column.
 
-Edge cases: null text counts as empty, which is one row of blanks; equal texts give equal files and features; images of
-any height work; a damaged or truncated file is an error that names the chunk.
+Every step is in whole numbers, so that equal texts give equal features on any machine.
+
+Edge cases: null text counts as empty, which is one row of blanks; equal texts, repeated rows among them, give equal files
+and features; images of any height work, rows being filtered and compressed a block at a time; coefficients that tie with
+the median count as below it; a damaged or truncated file is an error that names the chunk; an empty table gives an empty
+result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +37,12 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(body, zlib.crc32(kind)))
 
 
-def write_png(samples: np.ndarray, level: int = 6) -> bytes:
-    """A greyscale PNG of a (height, width) uint8 array."""
+#: Rows that are filtered at a time.
+BLOCK_ROWS = 4096
+
+
+def filtered(samples: np.ndarray, above: np.ndarray | None) -> np.ndarray:
+    """Rows with their filter number in front. above: the row before the first one, if there is one."""
     height, width = samples.shape
     ways = np.zeros((3, height, width), np.uint8)
     ways[0] = samples
@@ -42,12 +50,23 @@ def write_png(samples: np.ndarray, level: int = 6) -> bytes:
     ways[1][:, 1:] -= samples[:, :-1]
     ways[2] = samples
     ways[2][1:] -= samples[:-1]
+    if above is not None:
+        ways[2][0] -= above
     cost = np.abs(ways.view(np.int8).astype(np.int16)).sum(2, dtype=np.int64)
     best = cost.argmin(0)
     lines = np.empty((height, width + 1), np.uint8)
     lines[:, 0] = best
     lines[:, 1:] = ways[best, np.arange(height)]
-    data = zlib.compress(lines.tobytes(), level)
+    return lines
+
+
+def write_png(samples: np.ndarray, level: int = 6) -> bytes:
+    """A greyscale PNG of a (height, width) uint8 array."""
+    height, width = samples.shape
+    z, out = zlib.compressobj(level), []
+    for a in range(0, height, BLOCK_ROWS):
+        out.append(z.compress(filtered(samples[a : a + BLOCK_ROWS], samples[a - 1] if a else None).tobytes()))
+    data = b"".join([*out, z.flush()])
     parts = [_chunk(b"IDAT", data[i : i + CHUNK]) for i in range(0, len(data), CHUNK)]
     return b"".join([SIGNATURE, _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)), *parts, _chunk(b"IEND", b"")])
 
@@ -120,34 +139,48 @@ def unfilter(lines: np.ndarray) -> np.ndarray:
 
 @lru_cache(256)
 def _shrink(n: int) -> np.ndarray:
-    """(SIDE, n): area-weighted resampling of n samples to SIDE."""
-    edge = np.linspace(0, n, SIDE + 1)
-    low, high = edge[:-1, None], edge[1:, None]
-    cell = np.arange(n)[None]
-    return np.clip(np.minimum(high, cell + 1) - np.maximum(low, cell), 0, None) / (high - low)
+    """(SIDE, n): how much of each of n samples falls into each of SIDE cells, in units of 1 / SIDE of a sample; a row
+    sums up to n."""
+    return _weights(n, 0, n)
 
 
 @lru_cache(1)
 def _cosines() -> np.ndarray:
+    """Cosines in units of 2^-16; every row but the constant one sums up to nothing, so that a flat image has no others."""
     k, x = np.arange(8)[:, None], np.arange(SIDE)[None]
-    return np.cos(np.pi * k * (2 * x + 1) / (2 * SIDE))
+    table = np.rint(np.cos(np.pi * k * (2 * x + 1) / (2 * SIDE)) * 65536).astype(np.int64)
+    rest = table.sum(1)
+    rest[0] = 0
+    table[:, 0] -= rest // 2
+    table[:, -1] -= rest - rest // 2
+    return table
 
 
 def low_frequency_hash(samples: np.ndarray) -> bytes:
     """64 bits: which of the 8 x 8 lowest cosine coefficients lie above their median (the constant term is left out)."""
-    tall = samples.shape[0]
-    if tall > 4096:  # tall images: means of blocks of rows first, so that the resampling matrix stays small
-        step = tall // 2048
-        cut_at = np.arange(0, tall, step)
-        rows = np.add.reduceat(samples, cut_at, axis=0, dtype=np.float64) / np.diff(np.append(cut_at, tall))[:, None]
+    tall, wide = samples.shape
+    if wide % SIDE == 0:
+        rows = samples.reshape(tall, SIDE, wide // SIDE).sum(2, dtype=np.int64) * SIDE
     else:
-        rows = samples.astype(np.float64)
-    small = (_shrink(rows.shape[0]) if rows.shape[0] > 1 else np.ones((SIDE, 1))) @ rows @ _shrink(rows.shape[1]).T
-    c = np.rint((_cosines() @ small @ _cosines().T) * 16).ravel()
+        rows = samples.astype(np.int64) @ _shrink(wide).T
+    small = np.zeros((SIDE, SIDE), np.int64)
+    for a in range(0, tall, BLOCK_ROWS):
+        part = rows[a : a + BLOCK_ROWS]
+        # Of a tall image the weights are made block by block.
+        small += (_shrink(tall) if tall <= BLOCK_ROWS else _weights(tall, a, a + len(part))) @ part
+    small = small * 256 // (tall * wide)
+    c = (_cosines() @ small @ _cosines().T + (1 << 35) >> 36).ravel()
     c[0] = 0
     return np.packbits(c > np.median(c[1:])).tobytes()
 
 
+def _weights(n: int, a: int, b: int) -> np.ndarray:
+    """Columns a to b of _shrink(n)."""
+    low, high = np.arange(SIDE)[:, None] * n, (np.arange(SIDE)[:, None] + 1) * n
+    cell = np.arange(a, b)[None] * SIDE
+    return np.clip(np.minimum(high, cell + SIDE) - np.maximum(low, cell), 0, None)
+
+
 def payload(text: bytes) -> bytes:
     """The text padded with blanks to a positive multiple of the row width."""
     return text.ljust(max(1, -(-len(text) // WIDTH)) * WIDTH)
