@@ -103,12 +103,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+#: Every window of every document that shares any shingle with an item of the window's size, by definition.
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 i AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark),
 dg AS (SELECT doc_id, unnest(range(0, len(ws) - 4)) AS p, array_to_string(ws[p + 1:p + 5], ' ') AS g FROM d WHERE len(ws) >= 5),
 ig AS (SELECT item_id, len(ws) AS size, unnest(range(0, len(ws) - 4)) AS q, array_to_string(ws[q + 1:q + 5], ' ') AS g FROM i WHERE len(ws) >= 5),
-c AS (SELECT DISTINCT doc_id, size, greatest(0, least(p - q, len(ws) - size)) AS start FROM dg JOIN ig USING (g) JOIN d USING (doc_id)),
+c AS (SELECT doc_id, size, unnest(range(0, greatest(1, len(ws) - size + 1))) AS start FROM (SELECT DISTINCT doc_id, size FROM dg JOIN ig USING (g)) JOIN d USING (doc_id)),
 w AS (SELECT doc_id, size, start, unnest(list_distinct(list_transform(range(1, len(ws[start + 1:start + size]) - 3), lambda k: array_to_string(ws[start + k:start + k + 4], ' ')))) AS g FROM c JOIN d USING (doc_id)),
 s AS (SELECT DISTINCT item_id, size, g FROM ig),
 wt AS (SELECT doc_id, size, start, sum(length(g)) AS t FROM w GROUP BY ALL),
@@ -140,6 +141,22 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
 
+#: By definition: every 200-byte string (400 hex digits), its count, and the runs of bytes that repeated ones cover.
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 199)) AS i, md5(substr(h, 2 * i + 1, 400)) AS k FROM d WHERE len(h) >= 400),
+m AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+f AS (SELECT doc_id, i FROM w SEMI JOIN m USING (k)),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM f),
+r AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM r GROUP BY ALL),
+b AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM s),
+t AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last FROM b JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
 def blocklist(hosts: DataFrame) -> DataFrame:
     """A stand-in for a purchased list of hosts: those whose MD5 begins with 0 to 3, about a quarter."""
     return hosts.select("host").distinct().where(F.substring(F.md5("host"), 1, 1).isin(*"0123")).select(F.col("host").alias("key"))
@@ -183,4 +200,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op4_secrets": _op4_sql(), "op7_decontaminate": OP7_SQL, "op8_substrings": OP8_SQL, "op10_urls": OP10_SQL}
+    return {"op1_minhash": OP1_SQL, "op4_secrets": _op4_sql(), "op7_decontaminate": OP7_SQL, "op8_substrings": OP8_SQL, "op9_suffixes": OP9_SQL, "op10_urls": OP10_SQL}
