@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,13 +87,17 @@ class Archive:
     def violations(self) -> DataFrame:
         return analytics.violations(self.rows, self.dictionary_df(), self.bits)
 
-    def to_blobs(self, key: str, group_by: Sequence[str] = ()) -> DataFrame:
+    def to_blobs(self, key: str, group_by: Sequence[str] = (), most_rows: int = 0) -> DataFrame:
         """Serialized archives, one for each group: group columns, n_rows, n_bytes, keys ARRAY, blob. A blob holds at most
-        2^29 ids; group so that a group fits a task. Rows are in key order; null rows cannot be serialized."""
+        2^29 ids; group so that a group fits a task, or give most_rows: then the table is also split into ranges of keys
+        (column part) of about so many rows. Rows are in key order; null rows cannot be serialized."""
         dictionary, bits = self.dictionary, self.bits
         shared = self.spark.sparkContext.broadcast(dictionary)
         kinds = dict(self.rows.dtypes)
-        groups = list(group_by)
+        groups, rows = list(group_by), self.rows
+        if most_rows:
+            rows = analytics.ranged(rows, [key], -(-self.rows.count() // most_rows) or 1, "part")
+            groups, kinds = [*groups, "part"], kinds | {"part": "int"}
 
         def run(table: pa.Table) -> pa.Table:
             table = table.sort_by(key)
@@ -105,7 +110,7 @@ class Archive:
             return pa.Table.from_arrays([*head, *body], names=[*groups, "n_rows", "n_bytes", "keys", "blob"])
 
         schema = ", ".join([f"`{g}` {kinds[g]}" for g in groups] + ["n_rows long, n_bytes long", f"keys array<{kinds[key]}>", "blob binary"])
-        rows = self.rows.select(*groups, *([key] if key not in groups else []), "tokens")
+        rows = rows.select(*groups, *([key] if key not in groups else []), "tokens")
         return rows.groupBy(*groups).applyInArrow(run, schema) if groups else rows.groupBy(F.lit(0).alias("__all")).applyInArrow(run, schema)
 
     def save(self, path: str) -> None:
@@ -127,23 +132,46 @@ def dump(ids: list[list[int]], dictionary: Sequence[bytes], bits: int) -> bytes:
     return wire.dumps(wire.Blob(flat, [0, *np.cumsum(sizes).tolist()], b"".join(dictionary), bounds, bits))
 
 
-def load_rows(blob: bytes) -> list[bytes]:
-    """The decoded rows of a serialized archive."""
+def load_rows(blob: bytes, wanted: Sequence[int] | None = None) -> list[bytes]:
+    """The decoded rows of a serialized archive: all, or those at the wanted positions, others staying encoded."""
     b = wire.loads(blob)
     token = [b.dictionary[x:y] for x, y in zip(b.bounds, b.bounds[1:])]
-    return [b"".join([token[i] for i in b.tokens[x:y]]) for x, y in zip(b.rows, b.rows[1:])]
+    n = len(b.rows) - 1
+    if wanted is not None and any(not 0 <= i < n for i in wanted):
+        raise IndexError(f"the archive has {n} rows")
+    return [b"".join([token[i] for i in b.tokens[b.rows[r] : b.rows[r + 1]].tolist()]) for r in (range(n) if wanted is None else wanted)]
 
 
-def from_blobs(df: DataFrame, blob: str = "blob", keys: str | None = None, as_string: bool = True) -> DataFrame:
-    """Rows of serialized archives: the other columns of df, row (position, or the key from the ``keys`` list), value."""
+def count_rows(blob: bytes) -> int:
+    """Number of rows, from the boundaries alone."""
+    return wire.row_count(blob)
+
+
+def from_blobs(df: DataFrame, blob: str = "blob", keys: str | None = None, as_string: bool = True, wanted: Sequence | None = None) -> DataFrame:
+    """Rows of serialized archives: the other columns of df, row (position, or the key from the ``keys`` list), value.
+    wanted: only rows with these positions or keys; no other row is decoded, and a blob without any is not even opened
+    where its keys tell."""
     others = [c for c in df.columns if c not in (blob, keys)]
     kinds = dict(df.dtypes)
+    chosen = None if wanted is None else pa.array(sorted(set(wanted)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                values = load_rows(b.column(b.schema.get_field_index(blob))[r].as_py())
-                place = b.column(b.schema.get_field_index(keys))[r].values if keys else pa.array(range(len(values)), pa.int64())
+                data = b.column(b.schema.get_field_index(blob))[r]
+                place = b.column(b.schema.get_field_index(keys))[r].values if keys else None
+                at = None
+                if chosen is not None:
+                    if place is None:
+                        place = pa.array(range(count_rows(data.as_py())), pa.int64())
+                    at = pc.indices_nonzero(pc.is_in(place, value_set=chosen.cast(place.type))).to_pylist()
+                    if not at:
+                        continue
+                values = load_rows(data.as_py(), at)
+                if place is None:
+                    place = pa.array(range(len(values)), pa.int64())
+                elif at is not None:
+                    place = place.take(pa.array(at))
                 if len(place) != len(values):
                     raise CorruptArchiveError(f"{len(values)} rows, {len(place)} keys")
                 rest = [pa.array([b.column(b.schema.get_field_index(c))[r].as_py()] * len(values), b.schema.field(c).type) for c in others]

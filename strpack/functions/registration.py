@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import CorruptArchiveError
 from ..matching import Matcher
 from ..model import Model
-from .templates import template_key
+from .templates import template_key_sql
 
 
 def register(spark: SparkSession, model: Model, prefix: str = "strpack_") -> list[str]:
@@ -45,10 +45,6 @@ def register(spark: SparkSession, model: Model, prefix: str = "strpack_") -> lis
     def decoded_len(s: pd.Series) -> pd.Series:
         return pd.Series([None if ids is None else sum(map(len, pieces(ids))) for ids in s], dtype="Int64")
 
-    @F.pandas_udf("string")
-    def key(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else template_key(raw(v)).decode("utf-8", "replace"))
-
     class TokenStream:
         def __init__(self):
             self.matcher = None
@@ -62,8 +58,11 @@ def register(spark: SparkSession, model: Model, prefix: str = "strpack_") -> lis
                 yield pos, i, shared.value[i]
 
     names = []
-    for name, f in (("encode", encode), ("decode", decode), ("decoded_len", decoded_len), ("template_key", key)):
+    for name, f in (("encode", encode), ("decode", decode), ("decoded_len", decoded_len)):
         spark.udf.register(prefix + name, f)
         names.append(prefix + name)
+    # No Python here: the body is an expression that the optimizer sees.
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}template_key(line STRING) RETURNS STRING RETURN {template_key_sql('line')}")
+    names.append(prefix + "template_key")
     spark.udtf.register(prefix + "token_stream", F.udtf(TokenStream, returnType="pos int, token_id int, token binary"))
     return [*names, prefix + "token_stream"]

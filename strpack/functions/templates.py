@@ -80,6 +80,31 @@ def template_key_column(line: Column, fields: int = FIELDS) -> Column:
     return F.array_join(F.transform(parts, normalized_field), " ")
 
 
+def template_key_sql(line: str, fields: int = FIELDS) -> str:
+    """The same as SQL text, for functions that SQL defines. line: a SQL expression."""
+
+    def text(v: str) -> str:
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def whole(pattern: str) -> str:
+        return f"v RLIKE {text(rf'\A(?:{pattern})\z')}"
+
+    def value(v: str) -> str:
+        lower = f"translate(if(octet_length(v) <= {KEEP}, v, CAST(substring(CAST(v AS BINARY), 1, {KEEP}) AS STRING)), '{_UP}', '{_LOW}')"
+        number = f"{whole(_NUMBER)} AND length(regexp_replace(v, '[^0-9]', '')) * 2 >= length(v)"
+        case = f"CASE WHEN v = '' THEN '<*>' WHEN {whole(_IP)} THEN '<IP>' WHEN {whole(_UUID)} THEN '<UUID>' WHEN {whole(_HEX)} THEN '<HEX>' WHEN {number} THEN '<NUM>' ELSE {lower} END"
+        return f"transform(array({v}), v -> {case})[0]"
+
+    marks = "".join("\\" + c for c in _TRIM)
+    pair = f"translate(substring_index(t, '=', 1), '{_UP}', '{_LOW}') || '=' || {value("substr(t, instr(t, '=') + 1)")}"
+    field = f"CASE WHEN t = '' THEN '<*>' WHEN instr(t, '=') > 1 AND instr(t, '=') < length(t) THEN {pair} ELSE {value('t')} END"
+    parts = f"filter(split({line}, {text(f'[{_SPACE}]+')}), x -> x <> '')"
+    if fields > 0:
+        parts = f"slice({parts}, 1, {fields})"
+    trimmed_ = f"transform({parts}, x -> regexp_replace(x, {text(rf'\A[{marks}]+|[{marks}]+\z')}, ''))"
+    return f"array_join(transform({trimmed_}, t -> {field}), ' ')"
+
+
 def template_key(line: bytes, fields: int = FIELDS) -> bytes:
     """The same in Python, for rows that are already inside a task."""
     parts = [p for p in _PY_SPACE.split(line) if p]

@@ -30,16 +30,59 @@ def codebook_payload_size(rows: DataFrame, column: str = "tokens") -> DataFrame:
     return joined.agg((F.lit(6) + F.coalesce(F.sum(F.when(F.col("coded") == 1, 2 + F.col("n")).otherwise(3 * F.col("n"))), F.lit(0))).cast("long").alias("payload_bytes"))
 
 
+RANGES = 64
+#: Rows, in expectation, whose keys draw the borders between ranges.
+BORDER_SAMPLE = 4096
+
+
+def ranged(rows: DataFrame, order_by: Sequence[str], ranges: int = RANGES, out: str = "__p") -> DataFrame:
+    """rows with the number of their range of keys. The borders are quantiles of a bounded sample drawn by a hash of the
+    keys, so that every use of the plan sees the same ranges."""
+    keys, space = F.struct(*order_by), 1 << 40
+    n = max(1, rows.count())
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit(3), *order_by), F.lit(space)) < min(space, space * max(BORDER_SAMPLE, 64 * ranges) // n)).agg(F.array_sort(F.collect_set(keys)).alias("k"))
+    sample, kinds = drawn.first()["k"], dict(rows.dtypes)
+    step = max(1, -(-len(sample) // ranges))
+    constant = [F.struct(*[F.lit(k[c]).cast(kinds[c]).alias(c) for c in order_by]) for k in sample[step - 1 :: step]]
+    if not constant:
+        return rows.withColumn(out, F.lit(0))
+    return rows.withColumn(out, F.size(F.filter(F.array(*constant), lambda x: x < keys)))
+
+
+def _before(totals: DataFrame) -> DataFrame:
+    """__p, before: what comes before each range. At most RANGES + 1 rows meet in the window."""
+    one = W.partitionBy(F.lit(0)).orderBy("__p")
+    return totals.select("__p", (F.sum("t").over(one) - F.col("t")).alias("before"))
+
+
 def boundaries(rows: DataFrame, order_by: Sequence[str], column: str = "tokens") -> DataFrame:
-    """Keys, and where each row ends in the stream of all ids. Two steps keep it parallel: rows are range-partitioned
-    and summed per partition; only the partition totals meet in one place."""
-    ordered = rows.select(*order_by, F.size(column).cast("long").alias("n")).repartitionByRange(*order_by).withColumn("__p", F.spark_partition_id())
-    totals = ordered.groupBy("__p").agg(F.sum("n").alias("t"))
-    before = totals.select("__p", (F.sum("t").over(W.orderBy("__p")) - F.col("t")).alias("before"))
+    """Keys, and where each row ends in the stream of all ids. Rows are summed per range of keys; only the ranges' totals
+    meet in one place."""
+    ordered = ranged(rows.select(*order_by, F.size(column).cast("long").alias("n")), order_by)
+    before = _before(ordered.groupBy("__p").agg(F.sum("n").alias("t")))
     inside = F.sum("n").over(W.partitionBy("__p").orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0))
     return ordered.withColumn("inside", inside).join(F.broadcast(before), "__p").select(*order_by, (F.col("before") + F.col("inside")).alias("boundary"))
 
 
+def steps(bounds: DataFrame, order_by: Sequence[str], column: str = "boundary") -> DataFrame:
+    """Keys, ``column`` and its step from the boundary before (delta form), range by range: the first of a range counts
+    from the greatest boundary of the ranges before it."""
+    ordered = ranged(bounds.select(*order_by, column), order_by)
+    last = ordered.groupBy("__p").agg(F.max(column).alias("m"))
+    start = last.select("__p", F.coalesce(F.lag("m").over(W.partitionBy(F.lit(0)).orderBy("__p")), F.lit(0)).alias("start"))
+    placed = ordered.join(F.broadcast(start), "__p")
+    previous = F.coalesce(F.lag(column).over(W.partitionBy("__p").orderBy(*order_by)), F.col("start"))
+    return placed.select(*order_by, column, (F.col(column) - previous).alias("step"))
+
+
+def summed(rows: DataFrame, order_by: Sequence[str], column: str = "step", out: str = "boundary") -> DataFrame:
+    """The inverse of ``steps``: rows with the running total of ``column``."""
+    ordered = ranged(rows, order_by)
+    before = _before(ordered.groupBy("__p").agg(F.sum(column).alias("t")))
+    inside = F.sum(column).over(W.partitionBy("__p").orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0))
+    return ordered.withColumn("__inside", inside).join(F.broadcast(before), "__p").withColumn(out, F.col("before") + F.col("__inside")).drop("__p", "before", "__inside")
+
+
 def varint_size(n: Column) -> Column:
     """Bytes of an unsigned number in groups of seven bits."""
     out = F.lit(9)

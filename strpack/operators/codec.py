@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CorruptArchiveError, ShortBufferError
+from ..config import TOP_ID, CorruptArchiveError, ShortBufferError
 from ..matching import Matcher
 
 TOKENS = "tokens"
@@ -20,15 +22,14 @@ def _matcher(tokens: tuple[bytes, ...], max_token_length: int) -> Matcher:
     return Matcher(max_token_length, tokens)
 
 
-def _mapped(df: DataFrame, column: str, out: str, kind: pa.DataType, sql_kind: str, function) -> DataFrame:
-    """df with ``column`` replaced by ``out`` = function(value); nulls stay null; other columns pass through."""
+def _mapped(df: DataFrame, column: str, out: str, sql_kind: str, function: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """df with ``column`` replaced by ``out`` = function(array of a batch); other columns pass through."""
     names = df.columns
     at = names.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = pa.array([None if v is None else function(v) for v in b.column(at).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([values if i == at else c for i, c in enumerate(b.columns)], names=[out if i == at else n for i, n in enumerate(names)])
+            yield pa.RecordBatch.from_arrays([function(c) if i == at else c for i, c in enumerate(b.columns)], names=[out if i == at else n for i, n in enumerate(names)])
 
     fields = [f"`{out if n == column else n}` {sql_kind if n == column else k}" for n, k in df.dtypes]
     return df.mapInArrow(run, ", ".join(fields))
@@ -38,28 +39,38 @@ def encode(df: DataFrame, value: str, tokens: Sequence[bytes], max_token_length:
     """value (STRING or BINARY) -> ARRAY<INT>. Works on streaming DataFrames as well."""
     shared = df.sparkSession.sparkContext.broadcast(tuple(tokens))
 
-    def one(v: bytes) -> list[int]:
-        return _matcher(shared.value, max_token_length).parse(v)
+    def parsed(values: pa.Array) -> pa.Array:
+        parse = _matcher(shared.value, max_token_length).parse
+        return pa.array([None if v is None else parse(v) for v in values.to_pylist()], pa.list_(pa.int32()))
 
-    return _mapped(df.withColumn(value, F.col(value).cast("binary")), value, out, pa.list_(pa.int32()), "array<int>", one)
+    return _mapped(df.withColumn(value, F.col(value).cast("binary")), value, out, "array<int>", parsed)
+
+
+@lru_cache(4)
+def _table(tokens: tuple[bytes, ...]) -> pa.Array:
+    return pa.array(tokens, pa.large_binary())
+
+
+def decoded(ids: pa.ListArray, tokens: tuple[bytes, ...], capacity: int | None = None) -> pa.Array:
+    """The bytes behind each list of ids: one gather of tokens and one join for the whole batch; a null list stays null."""
+    ids = ids.cast(pa.large_list(pa.int32()))
+    flat, ends = ids.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())]).astype(np.int64)
+    wrong = pc.fill_null(pc.or_(pc.less(flat, 0), pc.greater_equal(flat, len(tokens))), True)
+    if pc.any(wrong, min_count=0).as_py():
+        at = pc.index(wrong, True).as_py()
+        place = at - int(ends[np.searchsorted(ends, at, "right") - 1])
+        raise CorruptArchiveError(f"token {place} has id {flat[at].as_py()}, the dictionary ends at {len(tokens) - 1}")
+    out = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), _table(tokens).take(flat)), pa.scalar(b"", pa.large_binary()))
+    if capacity is not None and len(out) and (need := pc.max(pc.binary_length(out)).as_py()) > capacity:
+        raise ShortBufferError(f"need {need} bytes, have {capacity}")
+    return pc.if_else(ids.is_valid(), out, pa.scalar(None, pa.large_binary())).cast(pa.binary())
 
 
 def decode(df: DataFrame, tokens: Sequence[bytes], column: str = TOKENS, out: str = "value", as_string: bool = True, capacity: int | None = None) -> DataFrame:
     """ARRAY<INT> -> STRING (or BINARY). An id outside the dictionary is an error, as is a row of more than ``capacity``
     bytes."""
     shared = df.sparkSession.sparkContext.broadcast(tuple(tokens))
-
-    def one(ids: list[int]) -> bytes:
-        table = shared.value
-        for position, i in enumerate(ids):
-            if i is None or not 0 <= i < len(table):
-                raise CorruptArchiveError(f"token {position} has id {i}, the dictionary ends at {len(table) - 1}")
-        data = b"".join([table[i] for i in ids])
-        if capacity is not None and len(data) > capacity:
-            raise ShortBufferError(f"need {len(data)} bytes, have {capacity}")
-        return data
-
-    found = _mapped(df, column, out, pa.binary(), "binary", one)
+    found = _mapped(df, column, out, "binary", lambda ids: decoded(ids, shared.value, capacity))
     return found.withColumn(out, F.col(out).cast("string")) if as_string else found
 
 
@@ -69,23 +80,32 @@ def dictionary(spark, tokens: Sequence[bytes]) -> DataFrame:
     return table.withColumn("token_len", F.octet_length("token"))
 
 
+def _by_id(dict_df: DataFrame, value: Column, kind: str) -> Column:
+    """A constant array of ``value`` over the dictionary, whose places are the ids: at most 65,536 numbers or hex strings."""
+    rows = dict_df.select("token_id", value.cast("string").alias("v")).orderBy("token_id").limit(TOP_ID + 2).collect()
+    if [r.token_id for r in rows] != list(range(len(rows))) or len(rows) > TOP_ID + 1:
+        raise ValueError("the dictionary has a gap, or too many tokens")
+    return F.split(F.lit(",".join(r.v for r in rows)), ",").cast(f"array<{kind}>")
+
+
+def _known(value: Column, token_id: Column, kind: str) -> Column:
+    """value, or an error where the id has none."""
+    message = F.concat(F.lit("no token has id "), F.coalesce(token_id.cast("string"), F.lit("null")))
+    return F.coalesce(value, F.raise_error(message).cast(kind))
+
+
 def decode_join(df: DataFrame, key: Sequence[str], dict_df: DataFrame, column: str = TOKENS, out: str = "value") -> DataFrame:
-    """The same in built-in operators only: explode, broadcast hash join, ordered collect. Null stays null and an
-    unknown id is an error here too."""
-    rows = df.select(*key, column, F.posexplode_outer(column).alias("pos", "token_id"))
-    joined = rows.join(F.broadcast(dict_df.select("token_id", "token")), "token_id", "left")
-    wrong = F.col("token_id").isNotNull() & F.col("token").isNull()
-    token = F.when(wrong, F.raise_error(F.concat(F.lit("no token has id "), F.col("token_id").cast("string"))).cast("string")).otherwise(F.hex("token"))
-    grouped = joined.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", token.alias("hex"))))).alias("parts"), F.max(F.col(column).isNull()).alias("none"))
-    value = F.unhex(F.array_join(F.transform("parts", lambda p: p["hex"]), ""))
-    return grouped.select(*key, F.when(~F.col("none"), value).alias(out))
+    """The same in built-in operators only: every id is looked up in the dictionary, a constant array in the
+    plan. Row-local, so rows that share a key stay rows of their own; null stays null and an unknown id
+    is an error here too."""
+    hexes = _by_id(dict_df, F.hex("token"), "string")
+    joined = F.array_join(F.transform(column, lambda i: _known(F.get(hexes, i), i, "string")), "")
+    return df.select(*key, F.unhex(joined).alias(out))
 
 
 def decoded_len_join(df: DataFrame, key: Sequence[str], dict_df: DataFrame, column: str = TOKENS) -> DataFrame:
-    """key, decoded_len: explode, broadcast join on the token lengths, sum. The texts themselves are never built."""
-    rows = df.select(*key, F.col(column).isNull().alias("none"), F.explode_outer(column).alias("token_id"))
-    joined = rows.join(F.broadcast(dict_df.select("token_id", "token_len")), "token_id", "left")
-    wrong = F.col("token_id").isNotNull() & F.col("token_len").isNull()
-    size = F.when(wrong, F.raise_error(F.lit("unknown token id")).cast("int")).otherwise(F.coalesce("token_len", F.lit(0)))
-    total = F.when(~F.max("none"), F.sum(size))
-    return joined.groupBy(*key).agg(total.cast("long").alias("decoded_len"))
+    """key, decoded_len of every row: the sum of its tokens' lengths, looked up in the same way. The texts themselves are
+    never built and nothing is exchanged."""
+    sizes = _by_id(dict_df, F.col("token_len"), "int")
+    total = F.aggregate(column, F.lit(0).cast("long"), lambda n, i: n + _known(F.get(sizes, i), i, "int"))
+    return df.select(*key, total.alias("decoded_len"))

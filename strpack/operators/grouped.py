@@ -33,19 +33,19 @@ def group_dictionaries(df: DataFrame, group: str, value: str, order_by: Sequence
     return pool.groupBy("g").applyInArrow(run, f"`{group}` {kind}, tokens array<binary>")
 
 
-def encode_grouped(df: DataFrame, dictionaries: DataFrame, group: str, value: str, config: Config = Config(), out: str = "ids") -> DataFrame:
+def encode_grouped(df: DataFrame, dictionaries: DataFrame | dict, group: str, value: str, config: Config = Config(), out: str = "ids") -> DataFrame:
     """df with value replaced by ids under its group's dictionary. Rows stream through tasks in batches: each batch loads
     the dictionaries of its groups, so no group has to fit a task. Groups are few enough to broadcast their dictionaries
     (at most 65,536 tokens each); their number is checked."""
-    tables = _collected(dictionaries, group)
+    tables = collected(dictionaries, group)
     shared = df.sparkSession.sparkContext.broadcast(tables)
     longest = config.max_token_length
     return _per_row(df, group, value, out, pa.list_(pa.int32()), "array<int>", lambda: {g: Matcher(longest, t).parse for g, t in shared.value.items()})
 
 
-def decode_grouped(df: DataFrame, dictionaries: DataFrame, group: str, column: str = "ids", out: str = "value") -> DataFrame:
+def decode_grouped(df: DataFrame, dictionaries: DataFrame | dict, group: str, column: str = "ids", out: str = "value") -> DataFrame:
     """The inverse of encode_grouped, as STRING."""
-    shared = df.sparkSession.sparkContext.broadcast(_collected(dictionaries, group))
+    shared = df.sparkSession.sparkContext.broadcast(collected(dictionaries, group))
 
     def joiner(t: list[bytes]):
         return lambda ids: b"".join([t[i] for i in ids])
@@ -57,7 +57,10 @@ def decode_grouped(df: DataFrame, dictionaries: DataFrame, group: str, column: s
 MOST_GROUPS = 256
 
 
-def _collected(dictionaries: DataFrame, group: str) -> dict:
+def collected(dictionaries: DataFrame | dict, group: str) -> dict:
+    """The dictionaries by group. What comes from here may stand in for the DataFrame, so that groups train only once."""
+    if isinstance(dictionaries, dict):
+        return dictionaries
     rows = dictionaries.limit(MOST_GROUPS + 1).collect()
     if len(rows) > MOST_GROUPS:
         raise ValueError(f"more than {MOST_GROUPS} groups: encode them in parts")

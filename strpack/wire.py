@@ -52,7 +52,7 @@ def validate(b: Blob) -> None:
             raise CorruptArchiveError(f"{name} boundary {x[-1]} lies beyond {limit}")
     ids = np.asarray(b.tokens)
     top = min(TOP_ID_12 if b.bits == 12 else 1 << 30, len(b.bounds) - 2)
-    wrong = np.flatnonzero(ids > top)
+    wrong = np.flatnonzero((ids > top) | (ids < 0))
     if len(wrong):
         raise CorruptArchiveError(f"token id {ids[wrong[0]]} at position {wrong[0]} is out of range (last: {top})")
 
@@ -313,6 +313,22 @@ def dumps(b: Blob) -> bytes:
     return MAGIC + struct.pack("<HH", VERSION, len(parts)) + b"".join(parts)
 
 
+def row_count(data: bytes) -> int:
+    """Rows of a serialized archive, by its frames and the count of its row boundaries; no payload is decoded."""
+    at = 8
+    if data[:4] != MAGIC or len(data) < at:
+        raise CorruptArchiveError("magic at offset 0 is wrong")
+    for i in range(struct.unpack_from("<H", data, 6)[0]):
+        if at + 7 > len(data):
+            raise CorruptArchiveError(f"at offset {at} header (stage index {i}): 7 bytes wanted, {len(data) - at} left")
+        n_name, n_params, n_data = struct.unpack_from("<BHI", data, at)
+        start = at + 7 + n_name + n_params
+        if data[at + 7 : at + 7 + n_name] == ROWS.encode():
+            return max(0, _count(data[start : start + 4], MOST_BOUNDARIES) - 1)
+        at = start + n_data
+    raise CorruptArchiveError(f"section {ROWS!r} is missing")
+
+
 def loads(data: bytes) -> Blob:
     """The inverse of dumps. Sections may come in any order, unknown ones are skipped, and every error says where."""
 

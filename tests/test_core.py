@@ -173,6 +173,48 @@ def test_damaged_archives_never_pass_silently_as_something_else():
             pass
 
 
+@pytest.mark.parametrize("name", ["tokens", "rows", "dictionary", "bounds", "bits", "params"])
+def test_six_kinds_of_corruption(name):
+    """One field of a sound archive changed, in memory and on the wire: never anything but rows or a clear error."""
+    rng = random.Random(name)
+    blob, rows = _archive()
+    for _ in range(60):
+        good = wire.loads(blob)
+        if name == "tokens":
+            good.tokens = good.tokens.copy()
+            good.tokens[rng.randrange(len(good.tokens))] = rng.choice([-1, 300, 65535, 1 << 20])
+        elif name == "rows":
+            good.rows[rng.randrange(len(good.rows))] = rng.choice([0, 1, 1 << 28, -1])
+        elif name == "dictionary":
+            good.dictionary = good.dictionary[: rng.randrange(len(good.dictionary))]
+        elif name == "bounds":
+            good.bounds[rng.randrange(len(good.bounds))] = rng.choice([0, 1 << 30, 7])
+        elif name == "bits":
+            good.bits = rng.choice([1, 8, 13, 17])
+        else:
+            at = blob.index(wire.TOKENS.encode()) + len(wire.TOKENS)
+            with pytest.raises(CorruptArchiveError):
+                wire.loads(blob[:at] + bytes([rng.choice([0, 1, 6, 11, 16, 255])]) + blob[at + 1 :])
+            continue
+        try:
+            assert len(load_rows(wire.dumps(good))) == len(rows)
+        except CorruptArchiveError:
+            pass
+
+
+def test_smallest_encoding_wins():
+    """Repetitive rows get a deflated codebook at either width, never the raw ids; ids without a pattern get raw ones."""
+    for line, ways in (("GET /api/v1/users/42 HTTP/1.1", {5, 15}), ("GET /api/v1/users/{} HTTP/1.1", {3, 5, 13, 15})):
+        rows = [line.format(i % 7).encode() for i in range(30_000)]
+        for config in (Config(), Config(token_bits=12)):
+            _, ids = parse(rows, config)
+            flat = np.array([i for x in ids for i in x])
+            sizes = {p: len(d) for p, d in wire.token_candidates(flat, config.bits)}
+            assert wire.tokens_section(flat, config.bits)[0][0] == min(sizes, key=sizes.get) in ways
+    noise = np.random.default_rng(1).permutation(65536)
+    assert wire.tokens_section(noise, 16)[0][0] == wire.RAW_16
+
+
 def test_contradictions():
     for change in ({"bits": 13}, {"rows": []}, {"rows": [1]}, {"rows": [0, 2, 1]}, {"rows": [0, 9]}, {"bounds": [1]}, {"bounds": [0, 3]}, {"tokens": np.array([5])}):
         good = {"tokens": np.array([0]), "rows": [0, 1], "dictionary": b"ab", "bounds": [0, 1, 2], "bits": 16}

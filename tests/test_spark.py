@@ -1,16 +1,22 @@
 """Operators on Spark: every catalogued query against its SQL, and the edges that tables of the benchmark lack."""
 
+import os
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from strpack.archive import Archive, from_blobs
+from strpack.archive import Archive, count_rows, dump, from_blobs, load_rows
 from strpack.config import Config
 from strpack.functions.templates import template_key, template_key_column
 from strpack.model import Encoder, Model, train
-from strpack.operators import codec, encoded, grouped, sampling
+from strpack.matching import Matcher
+from strpack.operators import analytics, codec, encoded, grouped, sampling
 from strpack.plans import catalog
+from strpack.sources import archives
+from strpack.training import train_rows
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -69,6 +75,119 @@ def test_decode_errors(spark):
         a.row(k=7)
 
 
+def test_row_local_decoding(spark):
+    """Rows that share a key stay rows of their own; null, empty and unknown ids; nothing is exchanged."""
+    tokens = tuple(bytes([i]) for i in range(256)) + (b"ab",)
+    df = spark.createDataFrame([(1, [256, 99]), (1, [256, 99]), (1, []), (None, None), (2, [0, 255])], "k int, tokens array<int>")
+    plain = sorted(map(str, codec.decode(df, tokens, as_string=False).collect()))
+    by_join = codec.decode_join(df, ["k"], codec.dictionary(spark, tokens))
+    assert sorted(map(str, by_join.collect())) == plain
+    sizes = codec.decoded_len_join(df, ["k"], codec.dictionary(spark, tokens))
+    assert sorted((r.k or 0, -1 if r.decoded_len is None else r.decoded_len) for r in sizes.collect()) == [(0, -1), (1, 0), (1, 3), (1, 3), (2, 2)]
+    for x in (by_join, sizes):
+        assert "hashpartitioning" not in x._jdf.queryExecution().executedPlan().toString()
+    gap = codec.dictionary(spark, tokens).where("token_id <> 5")
+    with pytest.raises(Exception, match="gap"):
+        codec.decode_join(df, ["k"], gap).collect()
+    with pytest.raises(Exception, match="no token has id -1"):
+        codec.decoded_len_join(spark.createDataFrame([(1, [-1])], df.schema), ["k"], codec.dictionary(spark, tokens)).collect()
+    with pytest.raises(Exception, match="token 0 has id -1"):
+        codec.decode(spark.createDataFrame([(1, [5]), (2, [-1])], df.schema).coalesce(1), tokens).collect()
+    assert codec.decode(df.where("false"), tokens).count() == 0
+
+
+def test_boundaries_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(analytics, "BORDER_SAMPLE", 50)
+    df = spark.range(2000).select((F.col("id") * 7 % 2000).alias("k"), F.array_repeat(F.lit(1), (F.col("id") % 5).cast("int")).alias("tokens"))
+    got = analytics.boundaries(df, ["k"]).orderBy("k").collect()
+    total, sizes = 0, {r.k: r.n for r in df.select("k", F.size("tokens").alias("n")).collect()}
+    for r in got:
+        total += sizes[r.k]
+        assert r.boundary == total
+    assert len(got) == 2000
+    steps = analytics.steps(analytics.boundaries(df, ["k"]), ["k"])
+    assert {r.k: r.step for r in steps.collect()} == sizes
+    assert analytics.summed(steps, ["k"], out="again").where("again <> boundary").count() == 0
+    assert analytics.boundaries(df.where("false"), ["k"]).count() == 0
+
+
+def test_point_lookups(spark, tmp_path):
+    """By options of the data source only the wanted file is opened and only the wanted rows are decoded."""
+    archives.register(spark)
+    at = str(tmp_path / "files")
+    df = spark.range(0, 3000, 1, 2).select(F.format_string("user_%06d", "id").alias("value"))
+    df.write.format("strpack").mode("append").option("path", at).option("file_bytes", "5000").save()
+    names = archives.listed(at)
+    assert len(names) > 4 and not [n for n in os.listdir(at) if n.endswith(".tmp")]
+    back = spark.read.format("strpack").option("path", "file://" + at).load()
+    assert back.count() == 3000 and back.select(F.col("value").cast("string")).distinct().count() == 3000
+    with open(names[0], "wb") as f:
+        f.write(b"no archive")
+    one = os.path.basename(names[1])
+    some = lambda **options: spark.read.format("strpack").option("path", at).options(**options).load()
+    assert [r.row for r in some(files=one, rows="5,3,1000000,3").collect()] == [3, 5] and some(files=one, rows="").count() == 0
+    assert some(files=one).where("row < 4").count() == 4 and some(files=one).count() > 4 and some(files="none").count() == 0
+    with pytest.raises(Exception, match="magic"):
+        back.count()
+    df.limit(3).coalesce(1).write.format("strpack").mode("overwrite").option("path", at).save()
+    assert len(archives.listed(at)) == 1 and some().count() == 3
+    rows = [b"a", b"bb", b"", b"dddd"]
+    tokens = train_rows(rows, Config())
+    blob = dump([Matcher(0, tokens).parse(r) for r in rows], tokens, 16)
+    assert load_rows(blob, [3, 2]) == [b"dddd", b""] and count_rows(blob) == 4 and load_rows(blob, []) == []
+    with pytest.raises(IndexError):
+        load_rows(blob, [4])
+    blobs = spark.createDataFrame([(1, bytearray(blob)), (2, bytearray(blob))], "g int, blob binary")
+    assert sorted((r.g, r.row, r.value) for r in from_blobs(blobs, wanted=[1, 3, 9]).collect()) == [(g, k, rows[k].decode()) for g in (1, 2) for k in (1, 3)]
+
+
+def test_stratified_sample_of_a_table(spark):
+    """The sample of the documents against the plain rules, row by row, in training order."""
+    docs = catalog.table(spark, SF, "documents")
+    config = Config(stratified=True, sample_bytes=1 << 16)
+    got, mode = sampling.training_sample(docs, "text", ["doc_id"], config, "exact")
+    values = [r.text.encode() for r in docs.orderBy("doc_id").collect()]
+    shuffled = [values[i] for i in sampling.permutation(len(values))]
+    keys, sizes = [template_key(v) for v in shuffled], list(map(len, shuffled))
+    groups = {}
+    for i, k in enumerate(keys):
+        groups.setdefault(k if k in groups or len(groups) < config.clusters else "other", []).append(i)
+    target = min(max(int(config.budget / (sum(sizes) / len(sizes))), 1), len(sizes))
+    exact = [len(g) * target / len(values) for g in groups.values()]
+    quota = [int(x) for x in exact]
+    order = list(range(len(quota)))
+    if left := target - sum(quota):
+        order.sort(key=lambda c: -(exact[c] - quota[c]))
+        for k in range(left):
+            quota[order[k % len(order)]] += 1
+    want, used, lists = [], 0, list(groups.values())
+    for c in order:
+        if used < config.budget or not want:
+            want += lists[c][: quota[c]]
+            used = sum(sizes[i] for i in want)
+    turn = 1
+    rest = {c: lists[c][quota[c] :] for c in order}
+    while used < config.budget and any(rest.values()):
+        for c in order:
+            if rest[c] and used < config.budget:
+                want.append(rest[c].pop(0))
+                used += sizes[want[-1]]
+        turn += 1
+    assert mode == "exact" and got == [shuffled[i] for i in want]
+
+
+def test_lifecycle_of_any_strings(spark):
+    """Encoding twice gives the same ids, and strings that training never saw survive."""
+    rng = random.Random(6)
+    for options in ({}, {"max_token_length": 16}, {"max_token_id": 4095}, {"token_bits": 12}):
+        a, b, q = ("".join(rng.choice("abé\x00 \t世") for _ in range(rng.randint(0, 40))) for _ in range(3))
+        model = train(spark.createDataFrame(list(enumerate([a, b, a + b, a])), "k int, v string"), "v", ["k"], **options)
+        df = spark.createDataFrame(list(enumerate([q, a, q + b, q, None])), "k int, v string")
+        first, second = model.encode(df, "v"), model.encode(df, "v")
+        assert sorted(map(str, first.rows.collect())) == sorted(map(str, second.rows.collect()))
+        assert sorted(map(str, first.decode().collect())) == sorted(map(str, df.collect()))
+
+
 def test_sampling_modes(spark):
     df = spark.range(3000).select("id", F.concat(F.lit("INFO user="), F.col("id"), F.lit(" code="), F.col("id") % 7).alias("v"))
     for options in ({}, {"stratified": True, "max_clusters": 2}):
@@ -101,6 +220,8 @@ def test_persistence_and_blobs(spark, tmp_path):
     model = Model(Config(), a.dictionary)
     model.save(spark, str(tmp_path / "m"))
     assert Model.load(spark, str(tmp_path / "m")) == model
+    several = a.to_blobs("k", most_rows=20).collect()
+    assert 4 <= len(several) <= 6 and sum(r.n_rows for r in several) == 100 and max(r.n_rows for r in several) <= 26
     blob = a.to_blobs("k").collect()
     assert len(blob) == 1 and blob[0].n_rows == 100
     back = from_blobs(spark.createDataFrame(blob, a.to_blobs("k").schema).select("keys", "blob"), keys="keys")
@@ -114,7 +235,9 @@ def test_persistence_and_blobs(spark, tmp_path):
 def test_groups_and_encoded_values(spark):
     df = spark.createDataFrame([(i, ["x", "y", None][i % 3], f"{['x', 'y', 'n'][i % 3]}-{i % 4}") for i in range(60)], "k int, g string, v string")
     d = grouped.group_dictionaries(df, "g", "v", ["k"])
-    assert d.count() == 3
+    assert d.count() == 3 and len(grouped.collected(d, "g")) == 3
+    once = grouped.collected(d, "g")
+    assert grouped.decode_grouped(grouped.encode_grouped(df, once, "g", "v"), once, "g", out="v").count() == 60
     back = grouped.decode_grouped(grouped.encode_grouped(df, d, "g", "v"), d, "g", out="v")
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
     model = train(df, "v", ["k"])
