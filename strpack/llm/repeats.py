@@ -13,8 +13,9 @@ more than the corpus, so windows meet in two steps, both exact:
    symbols, by the operator's suffix array or suffix trees; each class sends one record, and classes of different shards
    are merged by binary search among the sorted digests of their windows. Merging never looks inside a shard.
 
-Digests are 128 bits of BLAKE2b over the symbols themselves: among 10^13 windows two different ones agree with a
-probability of 10^-13.
+Digests are BLAKE2b over the symbols themselves. Windows carry 128 bits: among 10^13 windows two different ones agree with
+a probability of 10^-13. Super-windows are only told apart among those of one anchor, and 96 bits do for that: with 10^13 of
+them and 10^7 to an anchor the probability is 10^-9.
 
 Every batch of documents first settles what it can by itself and sends one record for each distinct key; of an anchor in
 many different super-windows, a task shows no further ones once it has shown more than ``CROWD``: they are open. So the group of one key
@@ -102,7 +103,7 @@ def supers(order: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 #: anchor: what tells the keys of one bin apart. whole, whole2 and key, key2: the halves of a digest.
-KINDS = {"anchor": np.uint32, "whole": U, "whole2": U, "key": U, "key2": U, "doc": np.int64, "mark": np.int32, "shard": np.int64, "place": np.int32, "count": np.int32, "state": np.uint8}
+KINDS = {"anchor": np.uint32, "whole": U, "whole2": np.uint32, "key": U, "key2": U, "doc": np.int64, "mark": np.int32, "shard": np.int64, "place": np.int32, "count": np.int32, "state": np.uint8}
 SUPER = ["anchor", "whole", "whole2", "doc", "mark", "place", "state"]
 WINDOW = ["key", "key2", "shard", "doc", "mark", "place", "count", "state"]
 
