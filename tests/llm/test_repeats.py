@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strpack.llm import catalog, components, decontaminate, nearness, substrings, suffixes
-from tests.llm.test_text import wild
+from strpack.llm import catalog, components, decontaminate, nearness, repeats, substrings, suffixes
+from tests.llm.test_text import searched, wild
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -23,23 +23,23 @@ def sets(docs):
     return out
 
 
-def linked(docs, numerator):
-    s = sets(docs)
-    at = {d: d for d in docs}
+def linked(rows, numerator):
+    """Component of every id: ids are linked if any of their texts are."""
+    s = [(d, x) for (d, _), x in zip(rows, (sets({0: t})[0] for _, t in rows)) if x]
+    at = {d: d for d, _ in rows}
 
     def root(x):
         while at[x] != x:
             x = at[x]
         return x
 
-    for a in docs:
-        for b in docs:
-            if a < b and s[a] and s[b]:
-                k = len(s[a] & s[b])
-                if 100 * k >= numerator * (len(s[a]) + len(s[b]) - k):
-                    x, y = root(a), root(b)
-                    at[max(x, y)] = min(x, y)
-    return {d: (len(s[d]), root(d)) for d in docs}
+    for i, (a, x) in enumerate(s):
+        for b, y in s[i + 1 :]:
+            k = len(x & y)
+            if a != b and 100 * k >= numerator * (len(x) + len(y) - k):
+                u, v = root(a), root(b)
+                at[max(u, v)] = min(u, v)
+    return {d: root(d) for d in at}
 
 
 def near_corpus():
@@ -55,20 +55,51 @@ def near_corpus():
     return docs | {1000: "", 1001: "A b", 1002: "a\tB", 1003: "a b c d e", 1004: "  ", 1005: None, 1006: "a b c d e f " * 3000}
 
 
-@pytest.mark.parametrize("numerator, small", [(85, 48), (80, 8)])
-def test_groups_are_all_groups(spark, numerator, small):
+@pytest.mark.parametrize("numerator, block, best, few", [(85, 512, 16, 10**6), (80, 8, 1, 0)])
+def test_groups_are_all_groups(spark, numerator, block, best, few):
     docs = near_corpus()
-    rows = [*docs.items(), (3, docs[3]), (None, docs[3])]
-    p = nearness.Params(numerator=numerator, small=small, centres=small)
-    got = nearness.groups(wild(spark, rows), p).collect()
-    want = linked(docs, numerator)
-    assert len(got) == len(rows)
+    rows = [*docs.items(), (3, docs[3]), (2000, docs[5]), (2000, "a text of its own that no other document has"), (2000, docs[1006]), (7, docs[8])]
+    p = nearness.Params(numerator=numerator, block=block, best=best, broadcast_ids=few)
+    got = nearness.groups(wild(spark, [*rows, (None, docs[3]), (None, None)]), p).collect()
+    want, size = linked(rows, numerator), [(d, len(sets({0: t})[0])) for d, t in rows]
+    assert sorted((r.doc_id, r.n_shingles) for r in got if r.doc_id is not None) == sorted(size)
     for r in got:
-        if r.doc_id is not None:
-            assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], r.doc_id == want[r.doc_id][1])
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.component_id, r.kept) == (want[r.doc_id], r.doc_id == want[r.doc_id]), r
     assert nearness.groups(wild(spark).where("false"), p).count() == 0
 
 
+def test_likely_pairs_of_blocks():
+    """Each rule of emission against all likely pairs; groups don't mix; of crossed groups only the sides meet."""
+    p, rng = nearness.Params(), np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    members = [np.unique(np.concatenate([base[: 400 - c], rng.integers(0, 1 << 63, c).astype(np.uint64)])) for c in rng.integers(0, 90, 40)]
+    regs = nearness.sketch(np.concatenate(members), np.cumsum([0, *map(len, members)]), p)
+    n, comp = np.array(list(map(len, members))), np.arange(40) // 4
+    whole, no, plain = np.array([0]), np.array([False]), np.zeros(40, bool)
+    pairs = lambda x, y: {*zip(x.tolist(), y.tolist())}
+    x, y, more = nearness.chosen_pairs(whole, no, comp, n, regs, plain, 0, p)
+    likely = pairs(x, y)
+    j = nearness.joint_estimate(regs[:, None].repeat(40, 1).reshape(1600, -1), np.tile(regs, (40, 1)), np.repeat(n, 40).astype(float), np.tile(n, 40).astype(float)).reshape(40, 40)
+    size = np.minimum(n[:, None], n) * 100 >= 85 * np.maximum(n[:, None], n)
+    assert likely == {(a, b) for a in range(40) for b in range(a + 1, 40) if comp[a] != comp[b] and size[a, b] and j[a, b] >= p.limit} and not more.any()
+    x, y, more = nearness.chosen_pairs(whole, no, comp, n, regs, plain, -1, p)
+    assert len(x) < 10 and more.all() and pairs(x, y) <= likely
+    x, y, more = nearness.chosen_pairs(whole, no, comp, n, regs, plain, 2, p)
+    count = {}
+    for u, v in zip(comp[x].tolist(), comp[y].tolist()):
+        count[min(u, v), max(u, v)] = count.get((min(u, v), max(u, v)), 0) + 1
+    assert more.all() and set(count.values()) <= {1, 2} and count.keys() == {(comp[a], comp[b]) for a, b in likely}
+    side, start = np.arange(40) % 3 == 0, np.array([0, 1, 13, 30])
+    cross = np.array([False, True, False, True])
+    x, y, _ = nearness.chosen_pairs(start, cross, comp, n, regs, side, 0, p)
+    of = np.searchsorted(start, np.arange(40), "right") - 1
+    assert pairs(x, y) == {(a, b) for a, b in likely if of[a] == of[b] and (not cross[of[a]] or side[a] != side[b])}
+    assert nearness._runs(np.cumsum([5, 1, 1, 9, 1]), 4) == [(0, 1), (1, 3), (3, 4), (4, 5)]
+
+
 def test_registers_merge_and_estimate():
     p = nearness.Params()
     rng = np.random.default_rng(0)
@@ -82,13 +113,15 @@ def test_registers_merge_and_estimate():
     assert same > 0.999
 
 
-def test_components_of_any_shape(spark):
+@pytest.mark.parametrize("block", [1 << 20, 16])
+def test_components_of_any_shape(spark, block):
     path = [(i, i + 1) for i in range(60)]
     star = [(100, 100 + i) for i in range(1, 40)]
-    got = components.components(spark.createDataFrame([*path, *star, (7, 7), (200, 201), (201, 200), (200, 201), (None, 3)], "a long, b long"))
+    links = spark.createDataFrame([*path, *star, (7, 7), (200, 201), (201, 200), (200, 201), (None, 3)], "a long, b long")
     want = {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
-    assert {r.node: r.component for r in got.collect()} == want
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    got = components.components(links, block=block).collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    assert components.components(links.where("false"), block=block).count() == 0
 
 
 def test_leaks(spark):
@@ -220,15 +253,138 @@ def test_suffix_array_and_common_prefixes():
         assert lcp[p] == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
 
 
-def test_subtrees_split_by_longer_prefixes(monkeypatch):
+def test_subtrees_split_by_longer_prefixes():
     rng = np.random.default_rng(3)
-    one, two, three = (rng.integers(0, k, 3000).astype(np.uint64) for k in (2, 3, 40))
-    whole = substrings.subtrees(one, two, three)
-    monkeypatch.setattr(substrings, "SUBTREE", 16)
-    split = substrings.subtrees(one, two, three)
-    keys = list(zip(one, two, three))
-    for classes in (whole, split):
-        assert len(set(zip(keys, classes.tolist()))) == len(set(keys)) == len(set(classes.tolist()))
+    ids = np.concatenate([rng.integers(0, 3, 500), np.zeros(300, int), np.tile(rng.integers(0, 9, 20), 30)])
+    at = np.arange(len(ids) - 12)
+    windows = [tuple(ids[a : a + 13].tolist()) for a in at]
+    for most in (1 << 16, 16):
+        groups = list(substrings.partition(ids, at, most))
+        assert sorted(np.concatenate([g for g, _ in groups]).tolist()) == list(range(len(at)))
+        assert all(len(g) <= most or d == 13 for g, d in groups) and all(len({w[:d] for w in (windows[i] for i in g)}) == 1 for g, d in groups)
+    for g, d in groups:
+        order, common = substrings.subtree(ids, at[g], d)
+        leaves = [windows[i] for i in g[order]]
+        assert common[1:].tolist() == [next((k for k in range(13) if a[k] != b[k]), 13) for a, b in zip(leaves, leaves[1:])]
+    classes = substrings.deep_nodes(ids, at)
+    assert len(set(zip(windows, classes.tolist()))) == len(set(windows)) == len(set(classes.tolist()))
+
+
+def test_words_are_numbered_by_their_bytes():
+    words = [b"a", b"ab", b"", b"a", "é".encode(), b"ab"]
+    ids = substrings.word_ids(np.frombuffer(b"".join(words), np.uint8), np.array(list(map(len, words))))
+    assert ids.tolist() == [0, 1, 2, 0, 3, 1] and len(substrings.word_ids(np.zeros(0, np.uint8), np.zeros(0, int))) == 0
+
+
+def by_hand(module, docs, batches=3, n_bins=2):
+    """The exchange of an operator without Spark, so that its parts can be replaced: {doc: (place, count) of windows}."""
+    import pyarrow as pa
+
+    spec, known, shards = module.SPEC, {}, iter(range(1 << 20))
+    rows = [(d, 0, (t or "").encode()) for d, t in docs]
+    parts = [rows[i::batches] for i in range(batches)]
+    batch = lambda part, *more: pa.record_batch([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.binary()), *more], names=["doc", "mark", "text", "place", "state"][: 3 + len(more)])
+
+    def settled(records, function, *names):
+        out = {}
+        tables = [pa.Table.from_batches([r]) for r in records if r is not None]
+        for b in range(n_bins):
+            own = [t.filter(pa.compute.equal(t["bin"], b)) for t in tables]
+            own = [t for t in own if t.num_rows]
+            for r in function(pa.concat_tables(own), spec.ordered).to_pylist() if own else ():
+                for k in names:
+                    out.setdefault((r["doc"], k), []).append(r[k])
+        return out
+
+    found = settled([module.collect(batch(p), n_bins, known) for p in parts], repeats.settled_supers, "place", "state")
+    held = [[r for r in p if (r[0], "place") in found] for p in parts]
+    opened = [batch(p, *(pa.array([found[r[0], k] for r in p], pa.list_(pa.binary())) for k in ("place", "state"))) for p in held if p]
+    flags = settled([w for b in opened for w in module.open_windows(b, n_bins, shards)], repeats.settled_windows, "place", "count")
+    return {d: tuple(np.concatenate([np.frombuffer(x, np.int32) for x in flags[d, k]]) for k in ("place", "count")) for d, k in flags if k == "place"}
+
+
+def removed(module, docs, **options):
+    flags, out = by_hand(module, docs, **options), {}
+    for d, t in docs:
+        n = len(WORD.findall(t or "")) if module is substrings else len((t or "").encode())
+        out[d] = np.flatnonzero(repeats.covered(n, module.SPEC.window, *flags[d])).tolist() if d in flags else []
+    return out
+
+
+def repeated_by_definition(module, docs):
+    units = {d: WORD.findall(t or "") if module is substrings else (t or "").encode() for d, t in docs}
+    w, at = module.SPEC.window, {}
+    for d, u in units.items():
+        for i in range(len(u) - w + 1):
+            at.setdefault(tuple(u[i : i + w]) if module is substrings else u[i : i + w], []).append(d)
+    out = {}
+    for d, u in units.items():
+        gone = set()
+        for i in range(len(u) - w + 1):
+            x = at[tuple(u[i : i + w]) if module is substrings else u[i : i + w]]
+            if min(x) < d if module is substrings else len(x) > 1:
+                gone.update(range(i, i + w))
+        out[d] = sorted(gone)
+    return out
+
+
+def cases(module):
+    sizes, alphabet, joint = ([5, 13, 14, 30], [f"w{i}" for i in range(9)], " ") if module is substrings else ([30, 150, 200, 201, 450], "abcd é", "")
+    return [(d, t) for d, t in repeat_corpus(alphabet, sizes, joint).items()]
+
+
+@pytest.mark.parametrize("module", [substrings, suffixes])
+def test_classes_inside_a_shard_decide(module, monkeypatch):
+    """The suffix array and the suffix trees alone find repeats inside a shard: without them results are wrong. Hashes
+    only bring records together: with eight bits of them results are right."""
+    docs = cases(module)
+    want = repeated_by_definition(module, docs)
+    assert removed(module, docs) == want and removed(module, docs, batches=1, n_bins=1) == want
+    rolling = repeats.Rolling.of
+    monkeypatch.setattr(repeats.Rolling, "of", lambda self, a, b: rolling(self, a, b) & np.uint64(255) | (rolling(self, a, b) & np.uint64(255)) << np.uint64(32))
+    assert removed(module, docs) == want
+    monkeypatch.undo()
+    if module is suffixes:
+        monkeypatch.setattr(suffixes, "SHARD", 3000)  # several shards in a batch
+        assert removed(module, docs) == want
+        monkeypatch.undo()
+        monkeypatch.setattr(suffixes, "string_classes", lambda x, ends, starts, length: np.arange(len(starts)))
+    else:
+        monkeypatch.setattr(substrings, "deep_nodes", lambda ids, at: np.arange(len(at)))
+    assert removed(module, docs) != want
+
+
+@pytest.mark.parametrize("module", [substrings, suffixes])
+def test_hot_passage_makes_no_hot_bin(module):
+    """A passage in every document, in many batches: a bin gets about one record a batch for each of its anchors."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(i, f"{' '.join(rng.choice('abcdefgh') + str(rng.randint(0, 99)) for _ in range(40))} {passage} {' '.join(rng.choice('xyz') + str(rng.randint(0, 99)) for _ in range(40))}") for i in range(600)]
+    assert removed(module, docs, batches=30, n_bins=3) == repeated_by_definition(module, docs)
+    known, shown = {}, {}
+    for k in range(30):
+        part = docs[k * 20 : k * 20 + 20]
+        out = module.collect(pa.record_batch([pa.array([d for d, _ in part], pa.int64()), pa.array([0] * 20, pa.int32()), pa.array([t.encode() for _, t in part], pa.binary())], names=["doc", "mark", "text"]), 1, known)
+        r = repeats.read(out, repeats.SUPER)
+        for a in r["anchor"][r["state"] >= repeats.SHOWN].tolist():
+            shown[a] = shown.get(a, 0) + 1
+    assert max(shown.values()) <= 30 + 2 * repeats.CROWD
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_query_matches_sql(spark, name):
+    import duckdb
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "benchmark", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want, got = con.sql(catalog.oracle_sql()[name]).df(), catalog.queries()[name](spark, sf).toPandas()
+    columns = sorted(want.columns)
+    assert columns == sorted(got.columns)
+    as_rows = lambda pdf: sorted(repr([None if v is None or v != v else v for v in r]) for r in pdf[columns].astype(object).itertuples(index=False))
+    assert as_rows(got) == as_rows(want)
 
 
 def test_pipeline(spark):
@@ -243,8 +399,47 @@ def test_pipeline(spark):
         if name != "tokens":
             assert at.columns == docs.columns
     texts = {r.doc_id: r.text for r in docs.collect()} | {d: t for d, t, *_ in extra}
-    assert set(texts) - kept["language"] == {d for d, t in texts.items() if not re.search(r"[^\W\d_]", t or "")}
+    gone = set(texts) - kept["language"]
+    assert {d for d, t in texts.items() if not re.search(r"[^\W\d_]", t or "")} <= gone
+    assert all(len(set(texts[d].split())) < 8 for d in gone if texts[d])  # and junk of one word
     left = {d: texts[d] for d in kept["language"]}
-    assert kept["near_duplicates"] == {d for d, (_, c) in linked(left, 80).items() if c == d}
+    assert kept["near_duplicates"] == {d for d, c in linked([*left.items()], 80).items() if c == d}
     found = {r.doc_id for r in decontaminate.leaks(docs.where(F.col("doc_id").isin([*kept["near_duplicates"]])), catalog.table(spark, sf, "benchmark")).collect()}
     assert kept["leaks"] == kept["near_duplicates"] - found and kept["secrets"] == kept["tokens"] == kept["leaks"]
+    import tokenizers
+
+    other = tokenizers.Tokenizer.from_file(catalog.vocabulary())
+    for r in at.collect():  # secrets are out of the texts, and tokens are those of what is left
+        text = redacted_by_search(left[r.doc_id])
+        assert r.ids == other.encode(text, add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def redacted_by_search(text):
+    """Overlapping matches of all kinds become one mark."""
+    out, at, spans = [], 0, []
+    for a, b, _ in sorted(searched(text)):
+        if spans and a < spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b)
+        else:
+            spans.append([a, b])
+    for a, b in spans:
+        out += [text[at:a], "[SECRET]"]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def test_stages_on_wild_and_empty_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = catalog.table(spark, sf, "documents")
+    text = docs.where("length(text) > 400").first().text
+    rows = [(1, None, None, None, None), (1, None, None, None, None), (None, text, "en", "s", 1), (None, text, "en", "s", 1), (2, "", "en", "s", 0), (3, text, None, None, None), (3, text + " more", "en", "s", 2), (4, text, "en", "s", 1)]
+    table = docs.limit(60).union(spark.createDataFrame(rows, docs.schema)).withColumns({"n": F.lit(1), "rep": F.lit(2), "component_id": F.lit("x"), "h": F.lit(0)})
+    for at in (table, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            at = stage(spark, at, sf)
+            got = at.collect()
+            if name != "tokens":
+                assert at.columns == docs.columns
+            if name == "near_duplicates" and got:
+                assert sum(r.doc_id is None for r in got) == 1 and not any(r.doc_id == 4 for r in got)

@@ -85,19 +85,48 @@ def test_automata_accept_what_expressions_do(pattern):
 
 def test_languages_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    found = catalog.op5_language(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
-    assert sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found)
-    assert not any(r.rejected for r in found) and all(0 <= r.score <= 1 for r in found)
+    found = catalog.op5_language(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
+    held = [r for r in found if r.held_out]
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in found)
+    # What is rejected is junk: long, and of a handful of words.
+    assert all(len(set(r.text.split())) < 8 and len(r.text) > 500 for r in found if r.rejected)
+
+
+def test_other_languages_and_junk_are_rejected(spark):
+    docs = catalog.table(spark, "/root/testdata/sf0.01", "documents")
+    model, rng = langid.fit(docs), random.Random(1)
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. "
+    letters = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(80))
+    coded = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400))
+    clean = [(100 + r.doc_id, r.text) for r in docs.where("length(text) > 300").limit(200).collect() if len(set(r.text.split())) > 20]
+    rows = [(0, polish * 3), (1, letters), (2, coded), (3, "世界" * 200), *clean]
+    got = {r.doc_id: r.rejected for r in langid.predict(wild(spark, rows), model, "doc_id").collect()}
+    assert all(got[k] for k in range(4)) and not any(v for k, v in got.items() if k >= 100) and len(clean) > 100
+
+
+def test_letters_and_n_grams_across_pieces():
+    texts = ["", "é", "123", "ab  cd é, 世界 ßẞ!" * 9, " a", "a " * 7]
+    raw = [t.encode() for t in texts]
+    whole = langid.counts(raw, 512)
+    assert whole[1].tolist() == [sum(c.isalpha() for c in t) for t in texts]
+    for size in (1, 2, 3, 7):
+        part = langid.counts(raw, 512, size)
+        assert (part[0] == whole[0]).all() and (part[1] == whole[1]).all()
 
 
 def test_language_edges(spark):
     rows = [(i, t, g) for i, (t, g) in enumerate([("the cat sat", "en"), ("der hund war", "de"), ("the dog ran", "en"), (None, "en"), ("le chat", None)] * 4)]
+    rows += [(100 + i, "hot text of one language", "en") for i in range(300)] + [(500, "gato y perro", "es")]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    got = {r.doc_id: r for r in langid.predict(wild(spark, [(0, None), (1, "123 !"), (2, "the cat"), (3, ""), (4, "世界世界")]), model, "doc_id").collect()}
+    assert model.langs == ["de", "en", "es"]  # one text is enough, however many copies others have
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.Params(broadcast_languages=0, sample=1)).langs == model.langs
+    far = "é" * ((1 << 20) - 1) + "ж" + " " * 100  # the one letter of its kind, on the border of two pieces
+    got = {r.doc_id: r for r in langid.predict(wild(spark, [(0, None), (1, "123 !"), (2, "the cat"), (3, ""), (4, "世界世界"), (5, far), (6, "1" * ((1 << 20) - 1) + "é")]), model, "doc_id").collect()}
     assert [got[k].lang_pred for k in (0, 1, 2, 3)] == ["und", "und", "en", "und"] and got[0].score == 0 and got[0].rejected
-    assert got[4].rejected and got[4].lang_pred in ("de", "en")
+    assert got[4].rejected and got[4].lang_pred in model.langs and got[6].lang_pred != "und"
     none = langid.fit(spark.createDataFrame([], "text string, lang string"))
     assert langid.predict(wild(spark), none, "doc_id").where("lang_pred <> 'und'").count() == 0
+    assert langid.predict(wild(spark).where("false"), model, "doc_id").count() == 0
 
 
 def test_media_round_trip(spark):
@@ -130,6 +159,54 @@ def test_png_filters_and_damage():
         media.read_png(file[:-5])
 
 
+def test_media_of_tall_texts_and_its_feature(spark):
+    """Blocks of rows change nothing; the feature is the low frequencies of the image shrunk by area; empty tables."""
+    rng = np.random.default_rng(3)
+    x = np.cumsum(rng.integers(-3, 4, (9000, 192)), axis=0).astype(np.uint8)
+    assert (media.read_png(media.write_png(x)) == x).all() and (media.read_png(media.write_png(x[:1])) == x[:1]).all()
+    old = media.BLOCK_ROWS, media.write_png(x), media.low_frequency_hash(x)
+    try:
+        media.BLOCK_ROWS = 1000
+        assert media.write_png(x) == old[1] and media.low_frequency_hash(x) == old[2]
+    finally:
+        media.BLOCK_ROWS = old[0]
+    assert media.low_frequency_hash(np.full((1, 192), 32, np.uint8)) == bytes(8)
+    for y in (x[:640], x[:64, :64], x[:32, :50]):
+        tall, wide = y.shape
+        big = np.repeat(np.repeat(y.astype(float), 32, 0), 32, 1)  # every sample as 32 x 32: cells are whole then
+        small = big.reshape(32, tall, 32, wide).mean((1, 3))
+        k, at = np.arange(8)[:, None], np.arange(32)[None]
+        c = np.cos(np.pi * k * (2 * at + 1) / 64)
+        c = (c @ small @ c.T).ravel()
+        c[0] = 0
+        want, got = np.packbits(c > np.median(c[1:])), np.frombuffer(media.low_frequency_hash(y), np.uint8)
+        assert np.unpackbits(want ^ got).sum() <= 2  # coefficients within a rounding of the median may differ
+    assert media.digests(wild(spark).where("false")).count() == 0
+    for r in media.digests(wild(spark, [(0, "é" * 500_000)])).collect():
+        file = media.write_png(np.frombuffer(media.payload(("é" * 500_000).encode()), np.uint8).reshape(-1, 192))
+        assert (r.n_bytes, r.media_bytes, r.media_sha256) == (1_000_000, len(file), hashlib.sha256(file).hexdigest())
+
+
+def test_secrets_of_empty_tables_and_clashing_columns(spark):
+    assert secrets.digests(wild(spark).where("false")).count() == 0
+    got = secrets.digests(wild(spark, [(1, "é password=abcdef1"), (1, "é password=abcdef1"), (None, None)])).collect()
+    assert [r.spans for r in sorted(got, key=lambda r: r.doc_id or 0)] == ["", "assign:2:18", "assign:2:18"]
+
+
+def test_bpe_of_long_words(spark):
+    import tokenizers
+
+    other = tokenizers.Tokenizer.from_file(catalog.vocabulary())
+    word = "".join(random.Random(2).choice("abcdeth") for _ in range(30_000))
+    rows = [(0, word), (0, word), (1, "a" * 20_000), (2, None)]
+    got = bpe.coded(wild(spark, rows), catalog.vocabulary()).collect()
+    want = {d: other.encode(t or "", add_special_tokens=False).ids for d, t in rows}
+    assert len(got) == 4 and all(r.ids == want[r.doc_id] and r.n_tokens == len(r.ids) for r in got)
+    assert {r.decoded_sha256 for r in got} == {hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows}
+    assert bpe.coded(wild(spark).where("false"), catalog.vocabulary()).count() == 0
+    assert bpe.load("/nowhere/" + catalog.VOCABULARY).size == bpe.load(catalog.vocabulary()).size
+
+
 def test_licences(spark):
     model = licences.train()
     rows = [(i, f"Some words here.\n{t}\nmore") for i, t in enumerate(t for ts in licences.TEMPLATES.values() for t in ts)]
@@ -145,6 +222,35 @@ def test_licences(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_unseen_licences_are_unknown(spark):
+    """Notices of licences that neither training nor calibration saw, and those that they called unknown."""
+    unseen = ("Licensed under the SIL Open Font License, Version 1.1.", "Licensed under the PostgreSQL License.", "Released under the Python Software Foundation License, version 2.", "Licensed under the Microsoft Public License.", "This work is licensed under the GNU Free Documentation License, version 1.3.", "Licensed under the Mulan Permissive Software License, Version 2.", "Licensed under the OpenSSL License.", "Licensed under the W3C Software License.", "This work is licensed under the Open Government Licence 3.0.")
+    rows = list(enumerate((*unseen, *licences.OTHERS, *licences.UNSEEN)))
+    assert licences.scan(wild(spark, rows)).where("confirmed").collect() == []
+    edited = ("Use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "To the extent possible under law, the author has waived all related rights to this work.", "Use of this source code is governed by a BSD-style notice.")
+    got = licences.scan(wild(spark, list(enumerate(edited)))).where("confirmed").collect()
+    assert {(r.doc_id, r.family) for r in got} == {(0, "BSD"), (1, "CC0"), (2, "BSD")}
+
+
+def test_scan_is_the_model_on_every_line(spark):
+    """Every confirmed single line of a table, by the driver's version of the model."""
+    p, model = licences.Params(), licences.train()
+    docs = catalog.table(spark, SF, "documents").select("doc_id", "text").collect()
+
+    def judged(line):
+        own, z = set(licences.features(line)), model.probabilities(line)
+        k = max(range(len(z)), key=z.__getitem__)
+        family = model.classes[k]
+        share = lambda fs: len(own & set(fs)) / len(fs)
+        ok = any(round(share(licences.features(t)), 4) >= p.confirm and share(licences.own_features()[t]) >= p.own for t in licences.TEMPLATES.get(family, ()))
+        return family, ok and z[k] >= p.probability
+
+    want = {(d.doc_id, i, f) for d in docs for i, line in enumerate(d.text.split("\n")) for f, ok in [judged(line)] if ok}
+    rows = licences.scan(catalog.table(spark, SF, "documents")).where("confirmed").collect()
+    assert want == {(r.doc_id, r.line, r.family) for r in rows} and want
+    assert licences.scan(catalog.table(spark, SF, "documents").where("false")).count() == 0
+
+
 def test_wrapped_licences(spark):
     import textwrap
 
@@ -204,3 +310,18 @@ def test_url_rules_and_cascade(spark):
     assert cascade.listed is None and len(cascade.levels) > 2
     assert cascade.flag(marked, "key", "found").where("found <> yes").count() == 0
     assert urlfilter.judge(df.where("false"), listed).count() == 0
+    assert urlfilter.judge(df, listed.where("false")).where("verdict = 'block' AND rule IS NULL").count() == 0
+
+
+def test_cascade_of_many_segments(spark, monkeypatch):
+    """Levels that exceed one array are probed segment by segment, with the same answers."""
+    marked = spark.range(3000).select(F.concat(F.lit("h"), "id").alias("key")).withColumn("yes", F.substring(F.md5("key"), 1, 1) < "4")
+    plain = urlfilter.build(marked, marked.where("yes").select("key"))
+    assert 5 < plain.bits / marked.where("yes").count() < 8
+    monkeypatch.setattr(urlfilter, "SEGMENT", 8)
+    cut = urlfilter.build(marked, marked.where("yes").select("key"))
+    assert [level.bits for level in cut.levels] == [level.bits for level in plain.levels] and cut.levels[0].bits > 3 * 8 * 64
+    assert cut.flag(marked, "key", "found").where("found <> yes").count() == 0
+    assert urlfilter.build(marked, marked.where("yes").select("key"), most_bits=100).flag(marked, "key", "found").where("found <> yes").count() == 0
+    long = spark.createDataFrame([(1, "http://h1/" + "x" * 200_000), (1, "http://h1/" + "x" * 200_000)], "page_id long, url string")
+    assert [len(r.path) for r in urlfilter.judge(long, marked.where("yes").select("key")).collect()] == [200_001] * 2
