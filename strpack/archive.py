@@ -16,6 +16,10 @@ from .config import CorruptArchiveError, ShortBufferError
 from .operators import analytics, codec
 
 
+#: A serialized archive holds at most so many rows and (unless one row has more) ids.
+BLOB_ROWS, BLOB_IDS = 1 << 17, 1 << 22
+
+
 @dataclass(frozen=True)
 class Archive:
     """rows: any key columns and ``tokens`` ARRAY<INT>; dictionary: the tokens by id; bits: id width, 12 or 16."""
@@ -24,6 +28,8 @@ class Archive:
     dictionary: tuple[bytes, ...]
     bits: int = 16
     out: str = "value"
+    #: The same rows before they were encoded, where known: counting and sampling keys then encodes nothing.
+    source: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -88,30 +94,52 @@ class Archive:
         return analytics.violations(self.rows, self.dictionary_df(), self.bits)
 
     def to_blobs(self, key: str, group_by: Sequence[str] = (), most_rows: int = 0) -> DataFrame:
-        """Serialized archives, one for each group: group columns, n_rows, n_bytes, keys ARRAY, blob. A blob holds at most
-        2^29 ids; group so that a group fits a task, or give most_rows: then the table is also split into ranges of keys
-        (column part) of about so many rows. Rows are in key order; null rows cannot be serialized."""
+        """Serialized archives of groups: group columns, n_rows, n_bytes, raw_bytes (what the ids at two bytes each and the
+        steps between rows would take), keys ARRAY, blob. A group of more than BLOB_ROWS rows or BLOB_IDS ids comes in
+        several, by ranges of keys, so a task holds one archive at a time whatever the size of a group. most_rows: at
+        most so many rows in each, which column part tells apart. Rows are in key order; null rows cannot be serialized."""
         dictionary, bits = self.dictionary, self.bits
         shared = self.spark.sparkContext.broadcast(dictionary)
-        kinds = dict(self.rows.dtypes)
-        groups, rows = list(group_by), self.rows
-        if most_rows:
-            rows = analytics.ranged(rows, [key], -(-self.rows.count() // most_rows) or 1, "part")
-            groups, kinds = [*groups, "part"], kinds | {"part": "int"}
-
-        def run(table: pa.Table) -> pa.Table:
-            table = table.sort_by(key)
-            ids = table["tokens"].to_pylist()
-            if any(x is None for x in ids):
-                raise CorruptArchiveError("a null row cannot be serialized")
-            blob = dump(ids, shared.value, bits)
-            head = [pa.array([table[g][0].as_py()], table.schema.field(g).type) for g in groups]
-            body = [pa.array([len(ids)], pa.int64()), pa.array([len(blob)], pa.int64()), pa.array([table[key].to_pylist()], pa.list_(table.schema.field(key).type)), pa.array([blob], pa.binary())]
-            return pa.Table.from_arrays([*head, *body], names=[*groups, "n_rows", "n_bytes", "keys", "blob"])
-
-        schema = ", ".join([f"`{g}` {kinds[g]}" for g in groups] + ["n_rows long, n_bytes long", f"keys array<{kinds[key]}>", "blob binary"])
-        rows = rows.select(*groups, *([key] if key not in groups else []), "tokens")
-        return rows.groupBy(*groups).applyInArrow(run, schema) if groups else rows.groupBy(F.lit(0).alias("__all")).applyInArrow(run, schema)
+        kinds, groups, most = dict(self.rows.dtypes), list(group_by), most_rows or BLOB_ROWS
+        columns = [*groups, *([key] if key not in groups else [])]
+        rows, head = _spread(self.rows.select(*columns, "tokens"), self.source, key, groups, max(most, BLOB_ROWS)), [*groups, "__part"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            whole, bounds = b"".join(shared.value), np.concatenate([[0], np.cumsum([len(t) for t in shared.value])]).tolist()
+
+            def stored(held: list[pa.RecordBatch], chunk: int) -> pa.RecordBatch:
+                table = pa.Table.from_batches(held).combine_chunks()
+                ids, place = table["tokens"].chunk(0), table[key].chunk(0)
+                sizes, flat = pc.list_value_length(ids).to_numpy().astype(np.int64), ids.flatten().to_numpy().astype(np.int64)
+                blob = wire.dumps(wire.Blob(flat, [0, *np.cumsum(sizes).tolist()], whole, bounds, bits))
+                raw = 2 * len(flat) + sum(len(sizes) if i == 0 else int((sizes >> 7 * i > 0).sum()) for i in range(5))
+                part = [pa.array([table["__part"][0].as_py() << 32 | chunk], pa.int64())] if most_rows else []
+                body = [pa.array([n], pa.int64()) for n in (len(sizes), len(blob), raw)]
+                return pa.RecordBatch.from_arrays([*[table[g].chunk(0).slice(0, 1) for g in groups], *part, *body, pa.ListArray.from_arrays(pa.array([0, len(place)], pa.int32()), place), pa.array([blob], pa.binary())], names=names)
+
+            held, now, n, n_ids, chunk = [], None, 0, 0, 0
+            for b in batches:
+                tokens = b.column(b.schema.get_field_index("tokens"))
+                if tokens.null_count:
+                    raise CorruptArchiveError("a null row cannot be serialized")
+                marks = [["nan" if v != v else v for v in b.column(b.schema.get_field_index(g)).to_pylist()] for g in head]
+                start = 0
+                for i, (size, *mark) in enumerate(zip(pc.list_value_length(tokens).to_pylist(), *marks)):
+                    if mark != now or n >= most or n_ids + size > BLOB_IDS:
+                        if i > start:
+                            held.append(b.slice(start, i - start))
+                        if held:
+                            yield stored(held, chunk)
+                        held, chunk, now, n, n_ids, start = [], chunk + 1 if mark == now else 0, mark, 0, 0, i
+                    n, n_ids = n + 1, n_ids + size
+                if b.num_rows > start:
+                    held.append(b.slice(start))
+            if held:
+                yield stored(held, chunk)
+
+        schema = [f"`{g}` {kinds[g]}" for g in groups] + ["part long"] * bool(most_rows) + ["n_rows long", "n_bytes long", "raw_bytes long", f"keys array<{kinds[key]}>", "blob binary"]
+        names = [*groups, *["part"] * bool(most_rows), "n_rows", "n_bytes", "raw_bytes", "keys", "blob"]
+        return rows.repartition(*head).sortWithinPartitions(*head, key).mapInArrow(run, ", ".join(schema))
 
     def save(self, path: str) -> None:
         """Rows and dictionary as Parquet; rows keep their partitioning, so a table sorted by key prunes by key."""
@@ -124,6 +152,24 @@ class Archive:
         return Archive(spark.read.parquet(f"{path}/rows"), tuple(bytes(r.token) for r in table), table[0].bits)
 
 
+def _spread(rows: DataFrame, source: DataFrame | None, key: str, groups: list[str], most: int) -> DataFrame:
+    """rows with ``__part``: 0 in groups of at most ``most`` rows; larger groups are split into ranges of keys of about so
+    many rows. Only the counts of larger groups are broadcast, and only borders between ranges reach the driver."""
+    plain = rows if source is None else source
+    n = plain.count()
+    if n <= most:
+        return rows.withColumn("__part", F.lit(0).cast("long"))
+    ranges = -(-n // most)
+    rows = analytics.ranged(rows, [key], out="__part", at=analytics.borders(plain, [key], ranges))
+    part = F.col("__part").cast("long")
+    if groups:
+        large = plain.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)]).agg(F.ceil(F.count("*") / most).alias("__many")).where(F.col("__many") > 1)
+        same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)]
+        rows = rows.join(F.broadcast(large), same, "left")
+        part = F.floor(part * F.coalesce("__many", F.lit(0)) / (ranges + 1)).cast("long")
+    return rows.select(*[c for c in rows.columns if not c.startswith("__")], part.alias("__part"))
+
+
 def dump(ids: list[list[int]], dictionary: Sequence[bytes], bits: int) -> bytes:
     """One serialized archive of rows of ids."""
     sizes = np.array([len(x) for x in ids], np.int64)

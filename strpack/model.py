@@ -45,7 +45,7 @@ class Model:
         return codec.encode(df, value, self._need(), self.config.max_token_length, out)
 
     def encode(self, df: DataFrame, value: str) -> Archive:
-        return Archive(self.transform(df, value), self._need(), self.config.bits, value)
+        return Archive(self.transform(df, value), self._need(), self.config.bits, value, df.drop(value))
 
     def encode_literal(self, value: str | bytes) -> list[int]:
         data = value.encode() if isinstance(value, str) else value

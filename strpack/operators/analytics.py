@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,18 +35,25 @@ RANGES = 64
 BORDER_SAMPLE = 4096
 
 
-def ranged(rows: DataFrame, order_by: Sequence[str], ranges: int = RANGES, out: str = "__p") -> DataFrame:
-    """rows with the number of their range of keys. The borders are quantiles of a bounded sample drawn by a hash of the
-    keys, so that every use of the plan sees the same ranges."""
+def borders(rows: DataFrame, order_by: Sequence[str], ranges: int = RANGES) -> list[Row]:
+    """The keys after which ranges of about equal size end: quantiles of a bounded sample drawn by a hash of the keys, so
+    the same rows always have the same borders. rows: anything that has the keys, best before it is encoded."""
     keys, space = F.struct(*order_by), 1 << 40
     n = max(1, rows.count())
     drawn = rows.where(F.pmod(F.xxhash64(F.lit(3), *order_by), F.lit(space)) < min(space, space * max(BORDER_SAMPLE, 64 * ranges) // n)).agg(F.array_sort(F.collect_set(keys)).alias("k"))
-    sample, kinds = drawn.first()["k"], dict(rows.dtypes)
+    sample = drawn.first()["k"]
     step = max(1, -(-len(sample) // ranges))
-    constant = [F.struct(*[F.lit(k[c]).cast(kinds[c]).alias(c) for c in order_by]) for k in sample[step - 1 :: step]]
-    if not constant:
+    return sample[step - 1 :: step]
+
+
+def ranged(rows: DataFrame, order_by: Sequence[str], ranges: int = RANGES, out: str = "__p", at: list[Row] | None = None) -> DataFrame:
+    """rows with the number of their range of keys, which a row finds by halving. at: the borders, where they are known."""
+    found, kinds, keys = borders(rows, order_by, ranges) if at is None else at, dict(rows.dtypes), F.struct(*order_by)
+    if not found:
         return rows.withColumn(out, F.lit(0))
-    return rows.withColumn(out, F.size(F.filter(F.array(*constant), lambda x: x < keys)))
+    constant = F.array(*[F.struct(*[F.lit(k[c]).cast(kinds[c]).alias(c) for c in order_by]) for k in found])
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(len(found).bit_length()))])
+    return rows.withColumn(out, F.aggregate(halves, F.lit(0), lambda n, i: F.when((n + i <= len(found)) & (F.get(constant, n + i - 1) < keys), n + i).otherwise(n)))
 
 
 def _before(totals: DataFrame) -> DataFrame:
@@ -55,19 +62,19 @@ def _before(totals: DataFrame) -> DataFrame:
     return totals.select("__p", (F.sum("t").over(one) - F.col("t")).alias("before"))
 
 
-def boundaries(rows: DataFrame, order_by: Sequence[str], column: str = "tokens") -> DataFrame:
+def boundaries(rows: DataFrame, order_by: Sequence[str], column: str = "tokens", at: list[Row] | None = None) -> DataFrame:
     """Keys, and where each row ends in the stream of all ids. Rows are summed per range of keys; only the ranges' totals
-    meet in one place."""
-    ordered = ranged(rows.select(*order_by, F.size(column).cast("long").alias("n")), order_by)
+    meet in one place. at: known ``borders`` of the keys."""
+    ordered = ranged(rows.select(*order_by, F.size(column).cast("long").alias("n")), order_by, at=at)
     before = _before(ordered.groupBy("__p").agg(F.sum("n").alias("t")))
     inside = F.sum("n").over(W.partitionBy("__p").orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0))
     return ordered.withColumn("inside", inside).join(F.broadcast(before), "__p").select(*order_by, (F.col("before") + F.col("inside")).alias("boundary"))
 
 
-def steps(bounds: DataFrame, order_by: Sequence[str], column: str = "boundary") -> DataFrame:
+def steps(bounds: DataFrame, order_by: Sequence[str], column: str = "boundary", at: list[Row] | None = None) -> DataFrame:
     """Keys, ``column`` and its step from the boundary before (delta form), range by range: the first of a range counts
     from the greatest boundary of the ranges before it."""
-    ordered = ranged(bounds.select(*order_by, column), order_by)
+    ordered = ranged(bounds.select(*order_by, column), order_by, at=at)
     last = ordered.groupBy("__p").agg(F.max(column).alias("m"))
     start = last.select("__p", F.coalesce(F.lag("m").over(W.partitionBy(F.lit(0)).orderBy("__p")), F.lit(0)).alias("start"))
     placed = ordered.join(F.broadcast(start), "__p")
@@ -75,9 +82,9 @@ def steps(bounds: DataFrame, order_by: Sequence[str], column: str = "boundary")
     return placed.select(*order_by, column, (F.col(column) - previous).alias("step"))
 
 
-def summed(rows: DataFrame, order_by: Sequence[str], column: str = "step", out: str = "boundary") -> DataFrame:
+def summed(rows: DataFrame, order_by: Sequence[str], column: str = "step", out: str = "boundary", at: list[Row] | None = None) -> DataFrame:
     """The inverse of ``steps``: rows with the running total of ``column``."""
-    ordered = ranged(rows, order_by)
+    ordered = ranged(rows, order_by, at=at)
     before = _before(ordered.groupBy("__p").agg(F.sum(column).alias("t")))
     inside = F.sum(column).over(W.partitionBy("__p").orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0))
     return ordered.withColumn("__inside", inside).join(F.broadcast(before), "__p").withColumn(out, F.col("before") + F.col("__inside")).drop("__p", "before", "__inside")

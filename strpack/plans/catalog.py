@@ -404,7 +404,7 @@ def wire_roundtrip_bits12(spark, d):
 
 @query("wire_split", "SELECT o_orderkey, o_orderpriority FROM orders")
 def wire_split(spark, d):
-    """A table without groups in several archives, by ranges of its key."""
+    """A table without groups in many archives, by its key."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     blobs = train(orders, "o_orderpriority", ["o_orderkey"]).encode(orders, "o_orderpriority").to_blobs("o_orderkey", most_rows=500)
     back = archives.from_blobs(blobs.select("keys", "blob"), keys="keys")

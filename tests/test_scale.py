@@ -40,3 +40,45 @@ def test_the_longest_token_wins_at_every_length():
             assert m.find(row, at) == (tokens.index(best), len(best))
             at += len(best)
         assert b"".join(tokens[i] for i in m.parse(row)) == row
+
+
+def test_ranges_are_found_by_halving(spark):
+    """Same ranges as by counting the borders below a key, nulls and several columns included; few comparisons in the plan's data."""
+    from strpack.operators import analytics
+
+    df = spark.range(3000).select(F.when(F.col("id") % 10 > 0, F.col("id") * 17 % 500).alias("a"), (F.col("id") % 3).cast("string").alias("b"))
+    at = analytics.borders(df, ["a", "b"], 37)
+    assert 30 <= len(at) <= 38
+    key = lambda r: [(v is not None, v or 0 if not isinstance(v, str) else v) for v in r]
+    for r in analytics.ranged(df, ["a", "b"], at=at).collect():
+        assert r["__p"] == sum(key(x) < key((r.a, r.b)) for x in at)
+
+
+def test_archives_are_bounded_whatever_the_group(spark, monkeypatch):
+    """A large group comes in several archives of its key's ranges; small ones stay whole; no row is lost."""
+    from strpack import archive
+    from strpack.model import train
+
+    monkeypatch.setattr(archive, "BLOB_ROWS", 100)
+    df = spark.range(3000).select("id", F.when(F.col("id") % 50 > 1, "big").when(F.col("id") % 50 > 0, "small").alias("g"), F.format_string("user_%d", F.col("id") % 13).alias("v"))
+    a = train(df, "v", ["id"]).encode(df, "v")
+    blobs = a.to_blobs("id", ["g"]).cache()
+    got = blobs.collect()
+    assert max(r.n_rows for r in got) <= 100 and sum(r.g == "big" for r in got) < 90 and sum(r.g == "small" for r in got) == sum(r.g is None for r in got) == 1
+    assert all(list(r["keys"]) == sorted(r["keys"]) for r in got)
+    back = archive.from_blobs(blobs.select("g", "keys", "blob"), keys="keys").select(F.col("row").alias("id"), "g", F.col("value").alias("v"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    raw = sum(2 * len(t) + (1 if len(t) < 128 else 2) for t in (r.tokens for r in a.rows.collect()))
+    assert sum(r.raw_bytes for r in got) == raw
+    parts = a.to_blobs("id", most_rows=7).collect()
+    assert max(r.n_rows for r in parts) == 7 and sum(r.n_rows for r in parts) == 3000 and len({r.part for r in parts}) == len(parts) < 480
+
+
+def test_an_archive_is_bounded_by_its_ids_too(spark, monkeypatch):
+    from strpack import archive
+    from strpack.archive import Archive
+
+    monkeypatch.setattr(archive, "BLOB_IDS", 50)
+    rows = spark.createDataFrame([(i, [97] * n) for i, n in enumerate([30, 30, 20, 80, 1, 0, 49])], "k int, tokens array<int>")
+    got = Archive(rows, tuple(identity_tokens())).to_blobs("k").collect()
+    assert [list(r["keys"]) for r in got] == [[0], [1, 2], [3], [4, 5, 6]]
