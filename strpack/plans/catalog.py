@@ -194,14 +194,20 @@ def codebook_payload_size(spark, d):
 
 @query("string_boundaries", "SELECT c_custkey, CAST(sum(strlen(c_name)) OVER (ORDER BY c_custkey) AS BIGINT) AS boundary FROM customer")
 def string_boundaries(spark, d):
-    return analytics.boundaries(_identity(spark, d, "customer", "c_name", "c_custkey").rows, ["c_custkey"])
+    a = _identity(spark, d, "customer", "c_name", "c_custkey")
+    return analytics.boundaries(a.rows, ["c_custkey"], at=analytics.borders(a.source, ["c_custkey"]))
 
 
 @query("boundary_delta_roundtrip", "SELECT CAST(0 AS BIGINT) AS mismatches, count(*) AS n FROM customer")
 def boundary_delta_roundtrip(spark, d):
-    """Row boundaries of trained ids, taken apart into steps and summed up again."""
-    b = analytics.boundaries(trained(spark, d, "customer", "c_name", "c_custkey").rows, ["c_custkey"])
-    back = analytics.summed(analytics.steps(b, ["c_custkey"]), ["c_custkey"], out="again")
+    """Row boundaries of trained ids, taken apart into steps and summed up again. Sizes and boundaries are stored first:
+    each operator reads its rows twice, and nothing is encoded or summed again for that. All share their ranges."""
+    a, key, at = trained(spark, d, "customer", "c_name", "c_custkey"), ["c_custkey"], _scratch(spark)
+    borders = analytics.borders(a.source, key)
+    a.rows.write.parquet(f"{at}/rows")
+    analytics.boundaries(spark.read.parquet(f"{at}/rows"), key, at=borders).write.parquet(f"{at}/boundaries")
+    b = analytics.steps(spark.read.parquet(f"{at}/boundaries"), key, at=borders)
+    back = analytics.summed(b, key, out="again", at=borders)
     return back.agg(F.count_if(F.col("again") != F.col("boundary")).alias("mismatches"), F.count("*").alias("n"))
 
 
