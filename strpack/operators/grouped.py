@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..matching import Matcher, identity_tokens
 from ..training import train_rows
+from . import codec
 
 
 def group_dictionaries(df: DataFrame, group: str, value: str, order_by: Sequence[str], config: Config = Config(), pool_factor: float = 4.0) -> DataFrame:
@@ -68,16 +69,21 @@ def collected(dictionaries: DataFrame | dict, group: str) -> dict:
 
 
 def _per_row(df: DataFrame, group: str, column: str, out: str, kind: pa.DataType, sql_kind: str, make) -> DataFrame:
+    """A function by group on every row, in ``codec.pieces`` of a batch."""
     names = df.columns
     g, at = names.index(group), names.index(column)
     if sql_kind == "array<int>":
         df = df.withColumn(column, F.col(column).cast("binary"))
+    weight = 1 if sql_kind == "array<int>" else 16  # of a byte, or of an id: what its token may take is not known here
 
     def run(batches):
         functions = make()
-        for b in batches:
-            values = [None if v is None else functions[k](v) for k, v in zip(b.column(g).to_pylist(), b.column(at).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(values, kind) if i == at else c for i, c in enumerate(b.columns)], names=[out if i == at else n for i, n in enumerate(names)])
+        for whole in batches:
+            for start, n in codec.pieces(codec.lengths(whole.column(at)) * weight + 8):
+                b = whole.slice(start, n)
+                values = (None if v is None else functions[k](v) for k, v in zip(b.column(g).to_pylist(), b.column(at).to_pylist()))
+                done = codec.listed(values) if kind == pa.list_(pa.int32()) else pa.array(list(values), kind)
+                yield pa.RecordBatch.from_arrays([done if i == at else c for i, c in enumerate(b.columns)], names=[out if i == at else n for i, n in enumerate(names)])
 
     return df.mapInArrow(run, ", ".join(f"`{out if n == column else n}` {sql_kind if n == column else k}" for n, k in df.dtypes))
 
@@ -86,8 +92,6 @@ def batch_dictionary(df: DataFrame, value: str, key: Sequence[str], rounds: int
     """A documented alternative to the online trainer that counts pairs over ALL rows, in rounds: parse, count adjacent
     pairs with one grouped aggregate, merge the most frequent ones. It gives another dictionary than the online trainer,
     independent of row order; key columns need not be unique. Only the top pairs of a round reach the driver."""
-    from . import codec
-
     tokens = identity_tokens()
     for _ in range(rounds):
         rows = codec.encode(df.select(F.col(value).cast("binary").alias("v")), "v", tokens, max_token_length)

@@ -82,3 +82,35 @@ def test_an_archive_is_bounded_by_its_ids_too(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [97] * n) for i, n in enumerate([30, 30, 20, 80, 1, 0, 49])], "k int, tokens array<int>")
     got = Archive(rows, tuple(identity_tokens())).to_blobs("k").collect()
     assert [list(r["keys"]) for r in got] == [[0], [1, 2], [3], [4, 5, 6]]
+
+
+def test_batches_are_worked_off_in_pieces(monkeypatch):
+    """Long rows and nulls: the same rows in the same order, and no piece much larger than its limit."""
+    import numpy as np
+    import pyarrow as pa
+
+    from strpack.operators import codec
+
+    weights = np.array([5, 0, 0, 30, 3, 3, 3, 3, 100, 0])
+    runs = list(codec.pieces(weights, 10))
+    assert [i for s, n in runs for i in range(s, s + n)] == list(range(10)) and all(n == 1 or weights[s : s + n].sum() <= 10 for s, n in runs)
+    assert list(codec.pieces(np.array([], int))) == []
+    rows = [[1, 2], None, [], [3], None]
+    assert codec.listed(iter(rows)).equals(pa.array(rows, pa.list_(pa.int32()))) and codec.listed(iter([])).equals(pa.array([], pa.list_(pa.int32())))
+    tokens = tuple(identity_tokens()) + (b"x" * 1000,)
+    ids = pa.array([[7], [256, 1], [999], None, [], [256, 256]], pa.list_(pa.int32()))
+    assert codec.decoded_sizes(ids, tokens).tolist() == [5, 1009, 4, 0, 0, 2008]
+    assert codec.decoded_sizes(ids[1:2], tokens).tolist() == [1009]
+
+
+def test_round_trip_in_small_pieces(spark, monkeypatch):
+    """The piece a function sees is bounded although a batch has all rows."""
+    from strpack.operators import codec
+
+    df = spark.range(0, 400, 1, 1).select("id", F.when(F.col("id") % 9 > 0, F.repeat(F.lit("ab é"), (F.col("id") % 50).cast("int"))).alias("v"))
+    seen = codec._mapped(df.withColumn("v", F.col("v").cast("binary")), "v", "n", "int", lambda c: __import__("pyarrow").array([len(c)] * len(c), "int32"), lambda c: codec.lengths(c) * 20_000)
+    most = max(r.n for r in seen.collect())
+    assert 1 <= most < 100
+    tokens = identity_tokens() + [b"ab"]
+    back = codec.decode(codec.encode(df, "v", tokens), tokens, out="v")
+    assert [tuple(r) for r in back.collect()] == [tuple(r) for r in df.collect()]
