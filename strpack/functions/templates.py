@@ -74,7 +74,8 @@ def normalized_field(field: Column) -> Column:
 
 def template_key_column(line: Column, fields: int = FIELDS) -> Column:
     """Template of a line (STRING or UTF-8 BINARY); blank lines give '', null gives null. Entirely built-in functions."""
-    parts = F.filter(F.split(line.cast("string"), f"[{_SPACE}]+"), lambda x: x != "")
+    # One empty part may come first and the rest of the line comes last: no field beyond the wanted ones is split off.
+    parts = F.filter(F.split(line.cast("string"), f"[{_SPACE}]+", fields + 2 if fields > 0 else -1), lambda x: x != "")
     if fields > 0:
         parts = F.slice(parts, 1, fields)
     return F.array_join(F.transform(parts, normalized_field), " ")
@@ -98,7 +99,7 @@ def template_key_sql(line: str, fields: int = FIELDS) -> str:
     marks = "".join("\\" + c for c in _TRIM)
     pair = f"translate(substring_index(t, '=', 1), '{_UP}', '{_LOW}') || '=' || {value("substr(t, instr(t, '=') + 1)")}"
     field = f"CASE WHEN t = '' THEN '<*>' WHEN instr(t, '=') > 1 AND instr(t, '=') < length(t) THEN {pair} ELSE {value('t')} END"
-    parts = f"filter(split({line}, {text(f'[{_SPACE}]+')}), x -> x <> '')"
+    parts = f"filter(split({line}, {text(f'[{_SPACE}]+')}, {fields + 2 if fields > 0 else -1}), x -> x <> '')"
     if fields > 0:
         parts = f"slice({parts}, 1, {fields})"
     trimmed_ = f"transform({parts}, x -> regexp_replace(x, {text(rf'\A[{marks}]+|[{marks}]+\z')}, ''))"

@@ -114,3 +114,14 @@ def test_round_trip_in_small_pieces(spark, monkeypatch):
     tokens = identity_tokens() + [b"ab"]
     back = codec.decode(codec.encode(df, "v", tokens), tokens, out="v")
     assert [tuple(r) for r in back.collect()] == [tuple(r) for r in df.collect()]
+
+
+def test_template_keys_split_off_the_first_fields_only(spark):
+    from strpack.functions.templates import template_key, template_key_column, template_key_sql
+
+    lines = [lead + " ".join(f"w{chr(97 + i)}" for i in range(n)) + tail for n in (0, 1, 11, 12, 13, 14, 40) for lead in ("", " ", "\t ") for tail in ("", " ", "  x")]
+    df = spark.createDataFrame([(x,) for x in lines], "v string")
+    for fields in (1, 12, 0):
+        keys = df.select("v", template_key_column(F.col("v"), fields).alias("k"), F.expr(template_key_sql("v", fields)).alias("s"))
+        assert all(r.k == r.s == template_key(r.v.encode(), fields).decode() for r in keys.collect())
+    assert ", 14)" in df.select(template_key_column(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
