@@ -1,14 +1,17 @@
 """Deterministic training samples.
 
 Two orders exist. ``exact`` shuffles row ordinals with a linear congruential generator (seed 42) and needs one integer
-per row on the driver, so it serves tables up to a row limit. ``hash`` orders rows by a seeded hash of their key, which
-needs no global state: rows pass a threshold computed from exact totals, and only what passes - a few times the budget -
-is sorted. Either way what reaches the trainer is bounded by the byte budget plus one row.
+per row on the driver, so it serves tables up to a row limit. ``hash`` orders rows by a seeded hash of their key and value,
+which needs no global state: rows pass a threshold computed from exact totals, and only what passes - a few times the budget -
+is sorted. Keys may repeat: rows of one key have places of their own, and equal rows are sorted as one with their number.
+Either way what reaches the trainer is bounded by the byte budget plus one row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain, islice, repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -88,11 +91,13 @@ def stratified_order(keys: Sequence, sizes: Sequence[int], budget: int, clusters
     return out
 
 
-def byte_budget(df: DataFrame, value: str, order: Sequence[Column | str], budget: int) -> DataFrame:
+def byte_budget(df: DataFrame, value: str, order: Sequence[Column | str], budget: int, times: Column | None = None) -> DataFrame:
     """Rows, in the given order, until their bytes reach the budget (the crossing row included). df should be a pool
-    already narrowed down to about the budget, since a running sum is one sorted partition."""
+    already narrowed down to about the budget, since a running sum is one sorted partition. times: how many equal rows
+    each stands for."""
     running = W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     size = F.octet_length(F.col(value).cast("binary"))
+    size = size if times is None else size * times
     return df.withColumn("__before", F.sum(size).over(running) - size).where(F.col("__before") < budget).drop("__before")
 
 
@@ -113,6 +118,18 @@ def stratified_quotas(df: DataFrame, key: str, seq: str, target: int, clusters:
     return part.select("cluster", "n", (F.col("__floor") + F.greatest(extra, F.lit(0))).cast("long").alias("quota"))
 
 
+def repeated(rows: Iterable[tuple[bytes, int]], budget: int) -> list[bytes]:
+    """Each value as many times as it is there, in order, until their bytes reach the budget."""
+    out, left = [], budget
+    for v, n in rows:
+        if left <= 0:
+            break
+        n = min(n, -(-left // max(1, len(v))))  # empty values teach nothing
+        out += [v] * n
+        left -= n * len(v)
+    return out
+
+
 def training_sample(df: DataFrame, value: str, order_by: Sequence[str], config: Config, mode: str = "auto", exact_rows: int = 1_000_000, exact_bytes: int = 256 << 20) -> tuple[list[bytes], str]:
     """(rows in training order, mode used). Null values are no rows. mode: exact, hash, or auto (exact within limits)."""
     rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_by)], F.col(value).cast("binary").alias("v")).where("v IS NOT NULL")
@@ -140,17 +157,19 @@ def training_sample(df: DataFrame, value: str, order_by: Sequence[str], config:
         return numbered.join(F.broadcast(wanted), "ordinal").orderBy("seq").select("v").toArrow()["v"].to_pylist(), mode
     if mode != "hash":
         raise ValueError(f"unknown sampling mode {mode!r}")
-    place = rows.withColumn("seq", F.pmod(F.xxhash64(F.lit(42), *keys), F.lit(SPACE)))
+    place = rows.withColumn("seq", F.pmod(F.xxhash64(F.lit(42), *keys, "v"), F.lit(SPACE)))
     if total <= config.budget:
         return place.orderBy("seq", *keys, "v").select("v").toArrow()["v"].to_pylist(), mode
     if config.stratified:
         return _stratified_by_hash(place, keys, n, total, config), mode
     share = 2.0 * config.budget / total + 64.0 / n
     while True:
-        pool = place.where(F.col("seq") < int(min(1.0, share) * SPACE))
-        if share >= 1 or (pool.agg(F.sum(F.octet_length("v"))).first()[0] or 0) >= config.budget:
-            chosen = byte_budget(pool, "v", ["seq", *keys, "v"], config.budget)
-            return chosen.orderBy("seq", *keys, "v").select("v").toArrow()["v"].to_pylist(), mode
+        passed = place.where(F.col("seq") < int(min(1.0, share) * SPACE))
+        if share >= 1 or (passed.agg(F.sum(F.octet_length("v"))).first()[0] or 0) >= config.budget:
+            pool = passed.groupBy("seq", *keys, "v").agg(F.count("*").alias("times"))
+            chosen = byte_budget(pool, "v", ["seq", *keys, "v"], config.budget, F.col("times"))
+            table = chosen.orderBy("seq", *keys, "v").select("v", "times").toArrow()
+            return repeated(zip(table["v"].to_pylist(), table["times"].to_pylist()), config.budget), mode
         share *= 4
 
 
@@ -160,29 +179,41 @@ def _stratified_by_hash(place: DataFrame, keys: list[str], n: int, total: int, c
     target = min(max(int(config.budget / (total / n)), 1), n)
     counts = marked.groupBy("key").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
     named = {r.key: r.n for r in counts.orderBy("first", "key").limit(config.clusters).collect()}
-    share = F.broadcast(place.sparkSession.createDataFrame([(k, min(1.0, (4.0 * target * c / n + 64) / c)) for k, c in named.items()], "key string, share double"))
-    rest = max(1, n - sum(named.values()))
-    pool = marked.join(share, "key", "left").withColumn("share", F.coalesce("share", F.lit(min(1.0, (4.0 * target * rest / n + 64) / rest))))
-    pool = pool.where(F.col("seq") < F.col("share") * SPACE).orderBy("seq", *keys, "v").select("v", "key").toArrow()
-    values, key = pool["v"].to_pylist(), pool["key"].to_pylist()
-    cluster = [k if k in named else OTHER for k in key]
+    counts_of: dict[str, int] = named | {OTHER: n - sum(named.values())}
+    shares = {k: min(1.0, (4.0 * target * c / n + 64) / max(c, 1)) for k, c in counts_of.items()}
+    while True:
+        share = F.broadcast(place.sparkSession.createDataFrame([(k, shares[k]) for k in named], "key string, share double"))
+        passed = marked.join(share, "key", "left").where(F.col("seq") < F.coalesce("share", F.lit(shares[OTHER])) * SPACE)
+        pool = passed.groupBy("seq", *keys, "v", "key").agg(F.count("*").alias("times")).orderBy("seq", *keys, "v").select("v", "key", "times").toArrow()
+        values, times = pool["v"].to_pylist(), pool["times"].to_pylist()
+        cluster = [k if k in named else OTHER for k in pool["key"].to_pylist()]
+        found: Counter[str] = Counter()
+        for k, t in zip(cluster, times):
+            found[k] += t
+        short = [k for k, c in counts_of.items() if shares[k] < 1 and found[k] < min(c, target * c / n + 1)]  # few rows that are equal
+        if not short:
+            break
+        shares |= {k: min(1.0, 4 * shares[k]) for k in short}
     size = [len(v) for v in values]
-    counts_of: dict[str, int] = dict(named)
-    counts_of[OTHER] = n - sum(named.values())
     order = [c for c in dict.fromkeys(cluster)]
     plan = quotas([max(counts_of[c], 1) for c in order], target)
-    rows: dict[str, list[int]] = {c: [] for c in order}
+    rows: dict[str, list[Iterator[int]]] = {c: [] for c in order}
     for i, c in enumerate(cluster):
-        rows[c].append(i)
-    out, used, taken = [], 0, {}
+        rows[c].append(repeat(i, times[i]))
+    feed = {c: chain.from_iterable(r) for c, r in rows.items()}
+    out, used = [], 0
     for c, quota in plan:
-        head = rows[order[c]][:quota]
-        out, used, taken[c] = out + head, used + sum(size[i] for i in head), len(head)
+        head = list(islice(feed[order[c]], quota))
+        out += head
+        used += sum(size[i] for i in head)
         if head and used >= config.budget:
             return [values[i] for i in out]
-    while used < config.budget and any(taken[c] < len(rows[order[c]]) for c, _ in plan):
+    while used < config.budget:
+        before = len(out)
         for c, _ in plan:
-            if taken[c] < len(rows[order[c]]) and used < config.budget:
-                out.append(rows[order[c]][taken[c]])
-                used, taken[c] = used + size[out[-1]], taken[c] + 1
+            if used < config.budget and (i := next(feed[order[c]], None)) is not None:
+                out.append(i)
+                used += size[i]
+        if len(out) == before:
+            break
     return [values[i] for i in out]

@@ -125,3 +125,32 @@ def test_template_keys_split_off_the_first_fields_only(spark):
         keys = df.select("v", template_key_column(F.col("v"), fields).alias("k"), F.expr(template_key_sql("v", fields)).alias("s"))
         assert all(r.k == r.s == template_key(r.v.encode(), fields).decode() for r in keys.collect())
     assert ", 14)" in df.select(template_key_column(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_hash_sample_of_repeated_keys_is_bounded_and_spread(spark, monkeypatch):
+    """One key for all rows, or few equal rows: what is sorted stays near the budget, the sample near the table's mix."""
+    from strpack.config import Config
+    from strpack.operators import sampling
+
+    sorted_rows = []
+    real = sampling.byte_budget
+    monkeypatch.setattr(sampling, "byte_budget", lambda pool, *a: sorted_rows.append(pool.count()) or real(pool, *a))
+    one = spark.range(20_000).select(F.lit(7).alias("k"), F.format_string("name %05d", "id").alias("v"))
+    few = spark.range(20_000).select(F.lit(7).alias("k"), F.element_at(F.array(F.lit("ab"), F.lit("cde"), F.lit("fghi")), (F.col("id") % 3 + 1).cast("int")).alias("v"))
+    config = Config(sample_bytes=4000)
+    got, _ = sampling.training_sample(one, "v", ["k"], config, "hash")
+    assert len(got) == 400 == len(set(got)) and sum(v < b"name 10000" for v in got) < 300 and sorted_rows.pop() < 2000
+    assert got == sampling.training_sample(one.repartition(5), "v", ["k"], config, "hash")[0]
+    got, _ = sampling.training_sample(few, "v", ["k"], config, "hash")
+    assert 4000 <= sum(map(len, got)) < 4004 and sorted_rows.pop() <= 3
+    for df in (one, few):
+        got, _ = sampling.training_sample(df, "v", ["k"], Config(sample_bytes=4000, stratified=True), "hash")
+        assert 4000 <= sum(map(len, got)) < 4010 and got == sampling.training_sample(df.repartition(5), "v", ["k"], Config(sample_bytes=4000, stratified=True), "hash")[0]
+    assert {v: got.count(v) > 400 for v in got} == {b"ab": True, b"cde": True, b"fghi": True}
+
+
+def test_repeated_rows_end_with_the_budget():
+    from strpack.operators.sampling import repeated
+
+    assert repeated([(b"ab", 2), (b"", 1 << 60), (b"c", 1 << 60), (b"d", 1)], 6)[-2:] == [b"c", b"c"]
+    assert repeated([(b"abc", 1), (b"de", 9)], 6) == [b"abc", b"de", b"de"] and repeated([], 5) == []
