@@ -178,9 +178,12 @@ def _stratified_by_hash(place: DataFrame, keys: list[str], n: int, total: int, c
     marked = place.withColumn("key", template_key_column(F.col("v")))
     target = min(max(int(config.budget / (total / n)), 1), n)
     counts = marked.groupBy("key").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
-    named = {r.key: r.n for r in counts.orderBy("first", "key").limit(config.clusters).collect()}
+    seen = counts.orderBy("first", "key").limit(config.clusters).collect()
+    named = {r.key: r.n for r in seen}
     counts_of: dict[str, int] = named | {OTHER: n - sum(named.values())}
     shares = {k: min(1.0, (4.0 * target * c / n + 64) / max(c, 1)) for k, c in counts_of.items()}
+    start = max(r["first"] for r in seen) / SPACE  # templates without a name of their own begin after those with one
+    shares[OTHER] = start + (1 - start) * shares[OTHER]
     while True:
         share = F.broadcast(place.sparkSession.createDataFrame([(k, shares[k]) for k in named], "key string, share double"))
         passed = marked.join(share, "key", "left").where(F.col("seq") < F.coalesce("share", F.lit(shares[OTHER])) * SPACE)

@@ -154,3 +154,16 @@ def test_repeated_rows_end_with_the_budget():
 
     assert repeated([(b"ab", 2), (b"", 1 << 60), (b"c", 1 << 60), (b"d", 1)], 6)[-2:] == [b"c", b"c"]
     assert repeated([(b"abc", 1), (b"de", 9)], 6) == [b"abc", b"de", b"de"] and repeated([], 5) == []
+
+
+def test_the_stratified_hash_sample_has_its_share_of_other_templates(spark, monkeypatch):
+    """Templates beyond the limit begin after all others in hash order; they get their quota, from one pass over the pool."""
+    from strpack.config import Config
+    from strpack.operators import sampling
+
+    df = spark.range(5000).select("id", F.translate(F.format_string("kind %06d", "id"), "0123456789", "abcdefghij").alias("v"))
+    order = [r.v.encode() for r in df.orderBy(F.pmod(F.xxhash64(F.lit(42), "id", F.col("v").cast("binary")), F.lit(sampling.SPACE))).collect()]
+    passes, real = [], type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: passes.append(1) or real(self))
+    got, _ = sampling.training_sample(df, "v", ["id"], Config(stratified=True, sample_bytes=2000), "hash")
+    assert sum(v in set(order[2048:]) for v in got) >= 100 and 2000 <= sum(map(len, got)) < 2011 and len(passes) == 1
