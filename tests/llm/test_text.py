@@ -207,6 +207,30 @@ def test_bpe_of_long_words(spark):
     assert bpe.load("/nowhere/" + catalog.VOCABULARY).size == bpe.load(catalog.vocabulary()).size
 
 
+def test_bpe_encodes_a_word_of_a_piece_once(monkeypatch):
+    """However many words the memory holds, and with borders as the tokenizer's own expression has them."""
+    import numpy as np
+    import pyarrow as pa
+    import regex
+
+    own, calls = bpe.Bpe(catalog.vocabulary()), []
+    one = own.encode_word
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 1)
+    monkeypatch.setattr(own, "encode_word", lambda w: calls.append(w) or one(w))
+    own.encode("aqua bravo cedar" + " aqua bravo cedar" * 50)
+    assert len(calls) == 4 and len(set(calls)) == 4
+    space = bpe._WS
+    words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}]+|[{space}]+(?![^{space}])|[{space}]+")
+    rng, parts = random.Random(3), ["a", "s", "re", "l", "'", "'ve", " ", "  ", "\n", "\xa0", "\u3000", "7", "٣", "é", "世", "🚀", "!", "\u0301", "\x1c", "𝒳"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    data, sizes = "".join(texts).encode(), [len(t.encode()) for t in texts]
+    found = own.starts(np.frombuffer(data, np.uint8), np.cumsum([0, *sizes[:-1]])).tolist()
+    assert [data[x:y].decode() for x, y in zip(found, [*found[1:], len(data)])] == [w for t in texts for w in words.findall(t)]
+    wrong = pa.array([b"a\xff", None, b"", b"\xc3", b"\xa9<|endof", b"text|>"], pa.binary())
+    ids, ends = own.encode_all(wrong)
+    assert own.decode_all(ids, ends) == ["a\ufffd", "", "", "\ufffd", "\ufffd<|endof", "text|>"] and len(own.encode("<|endoftext|>")) == 1
+
+
 def test_licences(spark):
     model = licences.train()
     rows = [(i, f"Some words here.\n{t}\nmore") for i, t in enumerate(t for ts in licences.TEMPLATES.values() for t in ts)]
